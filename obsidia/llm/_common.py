@@ -29,6 +29,14 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, once all that was made from it is itself written."""
+    jvm, session = df.sparkSession._jvm, df.sparkSession
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text) and ``text``; together the first two tell rows apart.
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from obsidia.llm.bpe import op5_byte_bpe
+from obsidia.llm.substring_dedup import op9_substring_dedup
 from obsidia.llm.suffix_dedup import op4_suffix_dedup
+from obsidia.llm.toxicity import op6_toxicity
+from obsidia.llm.url_filter import OP7_SQL, op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_byte_bpe, op6_toxicity, op7_url_filter, op9_substring_dedup)}
+ORACLE_SQL = {"op7_url_filter": OP7_SQL}
