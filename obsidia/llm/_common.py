@@ -85,11 +85,3 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     before = np.cumsum(counts) - counts
     return np.arange(total) + np.repeat(starts - before, counts)
-
-
-def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which of n places lie in any ``[start, end)``."""
-    change = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, ends, -1)
-    return np.cumsum(change[:n]) > 0

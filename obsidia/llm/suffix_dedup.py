@@ -15,7 +15,6 @@ No step gathers a bucket, a document's copies or the classes on the driver.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsidia.llm import _winnow, bwt
-from obsidia.llm._common import covered, keyed, ranges, same_row, slices, utf8, written
+from obsidia.llm._common import discard, keyed, ranges, same_row, slices, utf8, written
+from obsidia.llm._repeats import CLASS, RUNS, Unit, columns, covered_places, digests, flat_spans, repeated_windows
 
-_RUNS = "doc_id long, text_key long, start int, windows int, anchor long, d1 long, d2 long"
-_CLASS = ["anchor", "d1", "d2"]
-_GRAM_SHARE = 0.32
-_BATCH = 900_000
-
-
-def _digests(pieces: Iterator[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in pieces), dtype=np.int64).reshape(-1, 2)
+_GRAM_SHARE = 0.16
 
 
 def _find_runs(length: int, gram: int):
@@ -45,105 +38,46 @@ def _find_runs(length: int, gram: int):
                 continue
             begin = (np.cumsum(lengths) - lengths)[doc] + start
             view = memoryview(data)
-            digest = _digests(view[a:b] for a, b in zip(begin.tolist(), (begin + windows + length - 1).tolist()))
+            digest = digests(view[a:b] for a, b in zip(begin.tolist(), (begin + windows + length - 1).tolist()))
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1]))],
-                names=["doc_id", "text_key", "start", "windows", "anchor", "d1", "d2"],
+                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor), *columns(digest)],
+                names=["doc_id", "text_key", "start", "windows", *CLASS],
             )
 
     return run
 
 
-def _extract(length: int):
-    """Bytes of the listed runs of each text, by their class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 22):
-            texts, listed = batch.column("text").to_pylist(), batch.column("listed").to_pylist()
-            keys: list[list[int]] = [[], [], []]
-            found: list[bytes] = []
-            for text, runs in zip(texts, listed):
-                raw = (text or "").encode()
-                for r in runs:
-                    for k, name in zip(keys, _CLASS):
-                        k.append(r[name])
-                    found.append(raw[r["start"] : r["start"] + r["windows"] + length - 1])
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(found, pa.binary())], names=[*_CLASS, "piece"])
-
-    return run
-
-
-def _flat_spans(flags: np.ndarray) -> list[int]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edges.tolist()
-
-
-def _repeats_in(pieces: list[bytes], length: int) -> list[list[int]]:
-    """Flat [first, end, ...] spans of each piece's repeated windows; pieces are different strings."""
-    lengths = np.array([len(p) for p in pieces])
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    hashes = _winnow.gram_hashes(_winnow.byte_values(data), length)
-    counts = lengths - length + 1
-    starts = np.cumsum(lengths) - lengths
-    own = hashes[ranges(starts, counts)]
-    order = np.argsort(own)
-    ordered = own[order]
-    twin = np.zeros(len(own), dtype=bool)
-    same = ordered[1:] == ordered[:-1]
-    twin[order[1:][same]] = True
-    twin[order[:-1][same]] = True
-    out: list[list[int]] = [[] for _ in pieces]
-    texts, where = [], []
-    first = np.cumsum(counts) - counts
-    for i, p in enumerate(pieces):
-        edges = _flat_spans(twin[first[i] : first[i] + counts[i]])
-        for a, b in zip(edges[::2], edges[1::2]):
-            texts.append(p[a : b + length - 1])
-            where.append((i, a))
-    for (i, a), flags in zip(where, bwt.repeated(texts, length)):
-        out[i] += [a + x for x in _flat_spans(flags)]
-    return out
-
-
-def _expand_buckets(length: int):
-    """Repeated windows of whole buckets; rows come sorted by anchor."""
-
-    def solve(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        spans = _repeats_in([x[3] for x in held], length)
-        some = [i for i, s in enumerate(spans) if s]
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([held[i][k] for i in some], pa.int64()) for k in range(3)), pa.array([spans[i] for i in some], pa.list_(pa.int32()))],
-            names=[*_CLASS, "spans"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*_CLASS, "piece"))):
-                if size >= _BATCH - (1 << 16) and held[-1][0] != row[0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) + 1
-        if held:
-            yield solve(held)
-
-    return run
-
-
-def _window_digests(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "piece", 1 << 17):
-            pieces = batch.column("piece").to_pylist()
-            counts = np.array([len(p) - length + 1 for p in pieces])
-            digest = _digests(p[i : i + length] for p, n in zip(pieces, counts.tolist()) for i in range(n))
-            at = pa.array(np.repeat(np.arange(len(pieces)), counts))
-            offset = pa.array(ranges(np.zeros(len(pieces), dtype=np.int64), counts).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _CLASS), offset, pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1]))], names=[*_CLASS, "at", "w1", "w2"])
-
-    return run
+def _unit(length: int) -> Unit:
+    def pieces(raw: bytes, runs: list[dict]) -> list[bytes]:
+        return [raw[r["start"] : r["start"] + r["windows"] + length - 1] for r in runs]
+
+    def windows(texts: list[bytes]) -> Iterator[list[bytes]]:
+        return ([t[i : i + length] for i in range(len(t) - length + 1)] for t in texts)
+
+    def repeats(texts: list[bytes]) -> list[list[int]]:
+        lengths = np.array([len(t) for t in texts])
+        counts = lengths - length + 1
+        starts = np.cumsum(lengths) - lengths
+        hashes = _winnow.gram_hashes(_winnow.byte_values(np.frombuffer(b"".join(texts), dtype=np.uint8)), length)
+        own = hashes[ranges(starts, counts)]
+        order = np.argsort(own)
+        same = own[order[1:]] == own[order[:-1]]
+        twin = np.zeros(len(own), dtype=bool)
+        twin[order[1:][same]] = twin[order[:-1][same]] = True
+        out: list[list[int]] = [[] for _ in texts]
+        cut, where = [], []
+        first = np.cumsum(counts) - counts
+        for i, t in enumerate(texts):
+            edges = flat_spans(twin[first[i] : first[i] + counts[i]])
+            for a, b in zip(edges[::2], edges[1::2]):
+                cut.append(t[a : b + length - 1])
+                where.append((i, a))
+        for (i, a), flags in zip(where, bwt.repeated(cut, length)):
+            out[i] += [a + x for x in flat_spans(flags)]
+        return out
+
+    return Unit(pieces, repeats, windows)
 
 
 def _cut(length: int):
@@ -156,17 +90,8 @@ def _cut(length: int):
             removed, spans, kept = [], [], []
             for b, n, runs in zip(begin.tolist(), lengths.tolist(), batch.column("runs").to_pylist()):
                 raw = data[b : b + n]
-                if not runs:
-                    removed.append(0), spans.append([]), kept.append(raw.tobytes())
-                    continue
-                first, last = [], []
-                for r in runs:
-                    s = r["spans"] if r["spans"] is not None else [0, r["windows"]]
-                    for a, e in zip(s[::2], s[1::2]):
-                        first.append(r["start"] + a)
-                        last.append(r["start"] + e - 1 + length)
-                gone = covered(n, np.array(first), np.array(last))
-                edges = _flat_spans(gone)
+                gone = covered_places(n, runs or [], length)
+                edges = flat_spans(gone)
                 removed.append(int(gone.sum()))
                 spans.append([{"start": a, "end": e} for a, e in zip(edges[::2], edges[1::2])])
                 kept.append(raw[~gone].tobytes())
@@ -187,34 +112,12 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     """
     gram = max(1, min(128, round(length * _GRAM_SHARE)))
     docs = keyed(df, id_col, text_col)
-    runs = written(docs.mapInArrow(_find_runs(length, gram), _RUNS))
+    runs = written(docs.mapInArrow(_find_runs(length, gram), RUNS))
     twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = runs.join(twice, "anchor")
-    classes = shared.groupBy(*_CLASS).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("one"))
-    width = classes.groupBy("anchor").agg(F.count("*").alias("different"))
-    judged = written(classes.join(width, "anchor"))
-
+    shared = written(runs.join(twice, "anchor").select(runs.columns))
+    discard(runs)
     spread = docs.repartition("doc_id")
-    mixed = judged.where("different > 1").select("one.doc_id", "one.text_key", "one.start", "one.windows", *_CLASS, "different")
-
-    def pieces(part: DataFrame) -> DataFrame:
-        listed = part.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", *_CLASS)).alias("listed"))
-        # rows alike in id and text would give the same pieces again
-        joined = spread.alias("l").join(listed.alias("r"), same_row("l", "r")).select("l.text", "r.listed")
-        return joined.mapInArrow(_extract(length), "anchor long, d1 long, d2 long, piece binary")
-
-    cold = pieces(mixed.where(F.col("different") <= hot)).dropDuplicates(_CLASS)
-    found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expand_buckets(length), "anchor long, d1 long, d2 long, spans array<int>")
-    if judged.where(F.col("different") > hot).limit(1).count():
-        windows = pieces(mixed.where(F.col("different") > hot)).dropDuplicates(_CLASS).mapInArrow(_window_digests(length), "anchor long, d1 long, d2 long, at int, w1 long, w2 long")
-        again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        offsets = windows.join(again, ["w1", "w2"], "left_semi").groupBy(*_CLASS).agg(F.array_sort(F.collect_list("at")).alias("at"))
-        found = found.unionByName(offsets.select(*_CLASS, F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("spans")))
-
-    whole = judged.where("n > 1").select(*_CLASS, F.lit(None).cast("array<int>").alias("spans"))
-    alone = judged.where("n = 1").select(*_CLASS)
-    marks = whole.unionByName(found.join(alone, _CLASS, "left_semi"))
-    per_doc = shared.join(marks, _CLASS).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "windows", "spans")).alias("runs"))
+    per_doc = repeated_windows(spread, shared, _unit(length), hot)
     joined = spread.alias("l").join(per_doc.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "l.text_key", "l.text", "r.runs")
     return joined.mapInArrow(_cut(length), "doc_id long, text_key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
