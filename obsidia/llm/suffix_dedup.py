@@ -80,7 +80,13 @@ def _unit(length: int) -> Unit:
     return Unit(pieces, repeats, windows)
 
 
-def _cut(length: int):
+def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Bytes to keep so that a character goes as soon as one of its bytes does."""
+    head = (raw & 0xC0) != 0x80
+    return ~np.logical_or.reduceat(gone, np.flatnonzero(head))[np.cumsum(head) - 1] if len(raw) else ~gone
+
+
+def _cut(length: int, as_text: bool):
     """Covered bytes of each text from its runs' repeated windows; what is left of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,21 +100,22 @@ def _cut(length: int):
                 edges = flat_spans(gone)
                 removed.append(int(gone.sum()))
                 spans.append([{"start": a, "end": e} for a, e in zip(edges[::2], edges[1::2])])
-                kept.append(raw[~gone].tobytes())
+                kept.append(raw[_whole_characters(raw, gone) if as_text and edges else ~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(lengths), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(lengths), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string()) if as_text else pa.array(kept, pa.binary())],
                 names=["doc_id", "text_key", "n_bytes", "n_removed", "spans", "kept"],
             )
 
     return run
 
 
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048, as_text: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, text_key, n_bytes, n_removed, spans array<struct<start,end>>, kept binary``.
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else in the input; strings are
     judged on the input. Null texts are empty; texts shorter than ``length`` stay whole; rows that repeat count as
     occurrences of each other; null ids are an id like any other; other columns are ignored.
+    With ``as_text``, ``kept`` is a string, without the characters that a removed byte belonged to.
     """
     gram = max(1, min(128, round(length * _GRAM_SHARE)))
     docs = keyed(df, id_col, text_col)
@@ -119,7 +126,8 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     spread = docs.repartition("doc_id")
     per_doc = repeated_windows(spread, shared, _unit(length), hot)
     joined = spread.alias("l").join(per_doc.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "l.text_key", "l.text", "r.runs")
-    return joined.mapInArrow(_cut(length), "doc_id long, text_key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    kind = "string" if as_text else "binary"
+    return joined.mapInArrow(_cut(length, as_text), f"doc_id long, text_key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept {kind}")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
