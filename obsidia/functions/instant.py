@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(math.nan), F.lit(math.inf)
+NAN, INF = math.nan, math.inf
 
 
 def divide(a: Column, b: Column) -> Column:
