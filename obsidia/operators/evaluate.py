@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from obsidia.errors import AmbiguousMatch, EvalBudgetExhausted, InvalidLabelName, Parse, Unsupported, WrongType
 from obsidia.functions import instant as I
 from obsidia.functions import labels as L
-from obsidia.operators import histogram, rangefn
+from obsidia.operators import histogram, native, rangefn
 from obsidia.operators.grid import Grid, assign, spread
 from obsidia.operators.values import Scalar, Text, Vector
 from obsidia.plans import ast
@@ -66,6 +66,10 @@ class Evaluator:
     def selector(self, e: ast.Selector, grid: Grid) -> Vector:
         """Latest sample in the lookback window of each step; a marker there means absence."""
         at = self._at(e.at)
+        if (hists := self.source.native(e.matchers)) is not None:
+            found = assign(hists, grid, self.lookback, e.offset_ns, at).groupBy("k", "sig").agg(F.max_by(F.struct("hist", "stale", "ts_ns"), "ts_ns").alias("x")).where("not x.stale")
+            df = found.select("k", "sig", "x.hist", F.col("x.ts_ns").alias("ots_ns"))
+            return native.HistVector(spread(df, grid) if at is not None else df)
         samples = self.source.samples(e.matchers)
         found = assign(samples, grid, self.lookback, e.offset_ns, at).groupBy("k", "sig").agg(F.max_by(F.struct("value", "stale", "ts_ns"), "ts_ns").alias("x")).where("not x.stale")
         df = found.select("k", "sig", F.col("x.value").alias("value"), F.col("x.ts_ns").alias("ots_ns"))
@@ -98,6 +102,8 @@ class Evaluator:
             raise EvalBudgetExhausted(f"subqueries evaluate more than {SUBQUERY_POINTS} points")
         inner = Grid(low, step, max(1, n))
         value = self.eval(e.expr, inner)
+        if isinstance(value, native.HistVector):
+            raise Unsupported("subqueries over native histograms")
         if isinstance(value, Text):
             raise WrongType("a subquery over a string")
         df = value.df if isinstance(value, Vector) else value.attach(inner.frame(self.spark).withColumn("sig", F.lit("{}")), "value")
@@ -175,7 +181,15 @@ class Evaluator:
             param = self.scalar(args[1 - place], grid).constant
             if param is None:
                 raise Unsupported(f"{name} takes a constant here")
-        windows, range_ns, pinned = self.windows(args[place], grid, name in rangefn.WITH_PREVIOUS)
+        e = args[place]
+        if isinstance(e, ast.Selector) and (hists := self.source.native(e.matchers)) is not None:
+            if name not in ("rate", "increase", "delta") or e.range_ns is None:
+                raise Unsupported(f"{name} over native histograms")
+            at = self._at(e.at)
+            windows = assign(hists.where("not stale"), grid, e.range_ns, e.offset_ns, at)
+            df = native.rate(windows, e.range_ns, name != "delta", name == "rate").select("k", L.drop_name(F.col("sig")).alias("sig"), "hist", grid.time(F.col("k")).alias("ots_ns"))
+            return native.HistVector(spread(df, grid) if at is not None else df)
+        windows, range_ns, pinned = self.windows(e, grid, name in rangefn.WITH_PREVIOUS)
         df = rangefn.apply(name, windows, range_ns, param)
         if name != "last_over_time":
             df = df.withColumn("sig", L.drop_name(F.col("sig")))
@@ -301,20 +315,57 @@ class Evaluator:
         changed = L.sig_of(F.map_concat(F.map_filter(L.map_of(F.col("sig")), lambda k, v: k != target), F.create_map(F.lit(target), joined)))
         return Vector(self.vector(e.args[0], grid).df.withColumn("sig", changed))
 
+    def hist_field(self, e: ast.Call, grid: Grid, f) -> Vector:
+        """A number of each native histogram; float series give nothing."""
+        self.arity(e, 1)
+        v = self.eval(e.args[0], grid)
+        if isinstance(v, native.HistVector):
+            return self.finished(v.df.select("k", L.drop_name(F.col("sig")).alias("sig"), f(F.col("hist")).alias("value")), grid)
+        return Vector(self.vector(e.args[0], grid).df.where(F.lit(False)))
+
+    def fn_histogram_count(self, e: ast.Call, grid: Grid) -> Vector:
+        return self.hist_field(e, grid, lambda h: h["count"])
+
+    def fn_histogram_sum(self, e: ast.Call, grid: Grid) -> Vector:
+        return self.hist_field(e, grid, lambda h: h["sum"])
+
+    def fn_histogram_avg(self, e: ast.Call, grid: Grid) -> Vector:
+        return self.hist_field(e, grid, lambda h: I.divide(h["sum"], h["count"]))
+
     def fn_histogram_quantile(self, e: ast.Call, grid: Grid) -> Vector:
         self.arity(e, 2)
+        v = self.eval(e.args[1], grid)
+        if isinstance(v, native.HistVector):
+            named = self.scalar(e.args[0], grid).attach(v.df.withColumn("sig", L.drop_name(F.col("sig"))), "q")
+            return self.finished(native.quantiles(named), grid)
         return self.finished(histogram.quantile(self.vector(e.args[1], grid).df, self.scalar(e.args[0], grid).attach), grid)
 
     def fn_histogram_fraction(self, e: ast.Call, grid: Grid) -> Vector:
         self.arity(e, 3)
         low, high = self.scalar(e.args[0], grid), self.scalar(e.args[1], grid)
+        v = self.eval(e.args[2], grid)
+        if isinstance(v, native.HistVector):
+            named = v.df.withColumn("sig", L.drop_name(F.col("sig")))
+            return self.finished(native.fractions(high.attach(low.attach(named, "lower"), "upper")), grid)
         return self.finished(histogram.fraction(self.vector(e.args[2], grid).df, low.attach, high.attach), grid)
 
     # aggregations
 
     def aggregate(self, e: ast.Aggregate, grid: Grid) -> Vector:
-        df, v = self.vector(e.expr, grid).df, F.col("value")
         group = F.lit("{}") if e.by is None else L.keep(F.col("sig"), e.labels) if e.by else L.drop(F.col("sig"), [*e.labels, "__name__"])
+        inner = self.eval(e.expr, grid)
+        if isinstance(inner, native.HistVector):
+            rows = inner.df.withColumn("g", group)
+            if e.op in ("sum", "avg"):
+                out = native.added(rows, e.op == "avg")
+                return native.HistVector(out.select("k", F.col("g").alias("sig"), "hist", grid.time(F.col("k")).alias("ots_ns")))
+            if e.op in ("count", "group"):
+                value = F.count("*").cast("double") if e.op == "count" else F.max(F.lit(1.0))
+                return self.finished(rows.groupBy("k", F.col("g").alias("sig")).agg(value.alias("value")), grid)
+            return self.finished(rows.where(F.lit(False)).select("k", F.col("g").alias("sig"), F.lit(0.0).alias("value")), grid)
+        if not isinstance(inner, Vector):
+            raise WrongType("an instant vector is needed")
+        df, v = inner.df, F.col("value")
         rows = df.withColumn("g", group)
         if e.op in ("topk", "bottomk"):
             k = self.scalar(e.param, grid)
@@ -434,6 +485,8 @@ def as_frame(spark: SparkSession, value: Vector | Scalar | Text, grid: Grid) ->
     """``labels`` (canonical JSON), ``ts_ns`` and ``value`` of a compiled query."""
     if isinstance(value, Text):
         return spark.range(grid.n).select(F.lit("{}").alias("labels"), grid.time(F.col("id")).alias("ts_ns"), F.lit(value.value).alias("value"))
+    if isinstance(value, native.HistVector):
+        return value.df.select(F.col("sig").alias("labels"), grid.time(F.col("k")).alias("ts_ns"), "hist")
     df = value.df if isinstance(value, Vector) else value.attach(grid.frame(spark).withColumn("sig", F.lit("{}")), "value")
     return df.select(F.col("sig").alias("labels"), grid.time(F.col("k")).alias("ts_ns"), "value")
 

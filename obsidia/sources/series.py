@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,15 +18,27 @@ class SeriesSource:
     """Metrics by name; each gives ``labels map, ts_ns, value, stale``. Only metrics that a selector can name are read."""
 
     metrics: dict[str, Callable[[], DataFrame]]
+    histograms: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
 
-    def named(self, matchers: list[Matcher]) -> list[str]:
+    def native(self, matchers: list[Matcher]) -> DataFrame | None:
+        """``sig, ts_ns, hist, stale`` of native histograms, if the selector names any; each has ``labels map`` too."""
+        parts = []
+        for name in self.named(matchers, self.histograms):
+            df = self.histograms[name]()
+            for m in matchers:
+                if m.name != "__name__":
+                    df = df.where(L.matches(F.col("labels"), m.name, m.op, m.value))
+            parts.append(df.select(L.sig_of(F.map_concat(F.create_map(F.lit("__name__"), F.lit(name)), "labels")).alias("sig"), "ts_ns", "hist", "stale"))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def named(self, matchers: list[Matcher], among: dict | None = None) -> list[str]:
         import re
 
         def fits(name: str, m: Matcher) -> bool:
             hit = name == m.value if m.op in ("=", "!=") else re.fullmatch(m.value, name) is not None
             return hit == (m.op in ("=", "=~"))
 
-        return [n for n in self.metrics if all(fits(n, m) for m in matchers if m.name == "__name__")]
+        return [n for n in (self.metrics if among is None else among) if all(fits(n, m) for m in matchers if m.name == "__name__")]
 
     def raw(self, matchers: list[Matcher]) -> DataFrame | None:
         """Samples of all matching series, with the metric name among their labels."""
