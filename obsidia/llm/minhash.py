@@ -3,16 +3,16 @@
 A document's set is its distinct word shingles, each a 64-bit hash. Its sketch is the ``k`` least hashes.
 
 1. Documents of equal sets form a class; one set travels for all of them.
-2. Inverted lists over each class's ``probes`` least values generate overlaps. A list of more than ``block`` classes is
-   replaced by lists over pairs of values (its own and another of the document's least), and what is still larger is
-   compared block against block, so that no task holds more than ``2 * block`` members and no list is cut short.
-3. Within a list, the sketch of the union (the ``k`` least of both) estimates similarity. Pairs below the threshold by
+2. Inverted lists over retained values generate overlaps. Two sets of similarity s have at least ``needed(probes, s)``
+   of their ``probes`` least values in common (but for one pair in a million at the threshold), so with values ordered
+   from the rarest to the commonest it is enough to list each class under all but its ``needed - 1`` commonest ones:
+   values that many documents share through a common passage mostly generate nothing.
+3. A list of more than ``block`` classes is replaced by lists over pairs of values, and what is still larger is compared
+   block against block, so that no task holds more than ``2 * block`` members and no list is cut short.
+4. Within a list, the sketch of the union (the ``k`` least of both) estimates similarity. Pairs below the threshold by
    more than five standard errors are dropped; sets of up to ``k`` shingles are estimated exactly.
-4. Survivors are verified on the full sets, in two rounds: first those that span each list's estimated clusters; then,
+5. Survivors are verified on the full sets, in two rounds: first those that span each list's estimated clusters; then,
    with the components that these gave, only pairs whose ends are still apart.
-
-Two sets of similarity s share none of p probes with probability about (1 - s)**p, and fewer than two of them (what a
-replaced list asks for) with p * s * (1 - s)**(p - 1): 4e-9 and 2e-7 at 0.8 and 12 probes.
 """
 
 from __future__ import annotations
@@ -30,10 +30,20 @@ from obsidia.llm._common import keyed, same_row, slices, utf8, written
 from obsidia.llm._components import components
 from obsidia.llm._repeats import columns, digests
 
-_K = 64
+_K = 128
 _NONE = np.uint32(0xFFFFFFFF)
 
 
+def needed(probes: int, similarity: float, miss: float = 1e-6) -> int:
+    """How many of ``probes`` least values two sets share, but with probability ``miss``."""
+    below = 0.0
+    for n in range(probes):
+        below += math.comb(probes, n) * similarity**n * (1 - similarity) ** (probes - n)
+        if below > miss:
+            return max(1, n)
+    return probes
+
+
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes; shorter texts are one shingle, texts without words none."""
     data, lengths = utf8(column)
@@ -179,7 +189,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return sides.select("a", "b", "text").mapInArrow(_verify(size, percent), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", probes: int = 12, block: int = 256) -> DataFrame:
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", probes: int = 20, block: int = 128) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id, kept``, one row per input row.
 
     Rows are linked where 100 * intersection >= percent * union of their shingle sets (``size`` words in a row, ASCII
@@ -194,11 +204,22 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
         live.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "least", "sketch")).alias("x"))
         .select("d1", "d2", F.col("x.doc_id").alias("id"), F.struct("x.doc_id", "x.text_key").alias("one"), F.col("x.n_shingles").alias("size"), "x.least", "x.sketch")
     )
-    probed = classes.select("id", "least", F.explode("least").alias("value"))
+    share, least_common = percent / 100, needed(probes, percent / 100)
+    # a set with fewer values has less in common, and its partner's values may lie beyond the partner's least ones
+    short = F.ceil(F.col("size") * share - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("size") / share + 1e-9) - probes)
+    common = F.when(F.col("size") >= probes, least_common).otherwise(F.greatest(F.lit(1), F.least(F.lit(least_common), short)))
+    probed = classes.select("id", (F.size("least") - common + 1).cast("int").alias("listed"), F.size("least").alias("values"), F.explode("least").alias("value"))
     lists = probed.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = probed.join(lists, "value")
+    # values of one class alone are its rarest; of the others, as many as the rest of the prefix holds
+    ranked = probed.join(lists, "value").groupBy("id").agg(F.first("listed").alias("listed"), F.first("values").alias("values"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
+    room = F.greatest(F.col("listed") - (F.col("values") - F.size("v")), F.lit(0))
+    prefix = written(ranked.where(room > 0).select("id", F.slice("v", F.lit(1), room).alias("v"), F.slice("v", F.lit(1), room + 1).alias("more")))
+    shared = prefix.select("id", F.explode("v").alias("x"), "more").select("id", "x.value", "more")
+    # lists hold prefixes only, so they are shorter than the values are frequent
+    sized = shared.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.join(sized, "value")
     small = shared.where(F.col("n") <= block).select(F.xxhash64("value").alias("list"), "id", F.lit(-1).alias("side"))
-    doubled = shared.where(F.col("n") > block).select("id", F.explode("least").alias("other"), "value").where("other <> value").select(F.xxhash64(F.least("value", "other"), F.greatest("value", "other"), F.lit(2)).alias("list"), "id").distinct()
+    doubled = shared.where(F.col("n") > block).select("id", F.explode("more").alias("other"), "value").where("other.value <> value").select(F.xxhash64(F.least("value", "other.value"), F.greatest("value", "other.value"), F.lit(2)).alias("list"), "id").distinct()
     counted = written(doubled.join(doubled.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list"))
     fits = counted.where(F.col("n") <= block).select("list", "id", F.lit(-1).alias("side"))
     # larger ones: every block meets itself and each other one; side tells the two apart
