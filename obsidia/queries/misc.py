@@ -98,7 +98,7 @@ def exemplar_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _S = "WITH s AS (SELECT epoch_us(ts) * 1000 AS ts_ns, value, event_type, CAST(user_id % 4 AS VARCHAR) AS shard, md5('{\"__name__\":\"event_value\",\"event_type\":\"' || event_type || '\",\"shard\":\"' || user_id % 4 || '\"}') AS series_id FROM events)"
-_STATS = "m AS (SELECT series_id, count(*) AS n, 0 AS nan_excluded, median(value) AS median, var_pop(value) AS variance, stddev_pop(value) AS stddev, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM s GROUP BY series_id), d AS (SELECT series_id, median(abs(value - median)) AS mad FROM s JOIN m USING (series_id) GROUP BY series_id)"
+_STATS = "m AS (SELECT series_id, count(*) AS n, CAST(0 AS BIGINT) AS nan_excluded, median(value) AS median, var_pop(value) AS variance, stddev_pop(value) AS stddev, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM s GROUP BY series_id), d AS (SELECT series_id, median(abs(value - median)) AS mad FROM s JOIN m USING (series_id) GROUP BY series_id)"
 _STEPS = f"""steps AS (SELECT g AS ts_ns, count(*) > 90 AS active FROM (SELECT {START} + i * {6 * H} AS g FROM range({(END - START) // (6 * H) + 1}) r(i)) JOIN e ON t > g - {6 * H} AND t <= g GROUP BY g)"""
 _HISTORY = f"""WITH {_EVENTS}, {_STEPS},
 a AS (SELECT *, coalesce(lag(active) OVER (ORDER BY ts_ns), false) <> active AS change FROM steps),

@@ -88,8 +88,8 @@ QUERIES: dict[str, tuple] = {
     **{f"promql_{f}_over_time": (f"{f}_over_time(event_value[12h])", _win("event_value", 12, sql)) for f, sql in {"avg": "avg(v)", "min": "min(v)", "max": "max(v)", "sum": "sum(v)", "count": "count(*)", "stddev": "stddev_pop(v)", "stdvar": "var_pop(v)", "present": "1"}.items()},
     "promql_last_over_time": ("last_over_time(event_value[12h])", _win("event_value", 12, "arg_max(v, t)", labels=_N)),
     "promql_quantile_over_time": ("quantile_over_time(0.3, event_value[12h])", _win("event_value", 12, "quantile_cont(v, 0.3)")),
-    "promql_absent_over_time": ('absent_over_time(event_value{event_type="purchase",shard="1"}[1h])', f"""WITH {_EVENTS}, {_grid(False)} SELECT '{{"event_type":"purchase","shard":"1"}}' AS labels, g AS ts_ns, 1.0 AS value FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE event_type = 'purchase' AND shard = '1' AND t > g.g - {H} AND t <= g.g)"""),
-    "promql_absent": ('absent(event_value{event_type="none"})', f"""WITH {_grid(False)} SELECT '{{"event_type":"none"}}' AS labels, g AS ts_ns, 1.0 AS value FROM g"""),
+    "promql_absent_over_time": ('absent_over_time(event_value{event_type="purchase",shard="1"}[1h])', f"""WITH {_EVENTS}, {_grid(False)} SELECT '{{"event_type":"purchase","shard":"1"}}' AS labels, g AS ts_ns, CAST(1 AS DOUBLE) AS value FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE event_type = 'purchase' AND shard = '1' AND t > g.g - {H} AND t <= g.g)"""),
+    "promql_absent": ('absent(event_value{event_type="none"})', f"""WITH {_grid(False)} SELECT '{{"event_type":"none"}}' AS labels, g AS ts_ns, CAST(1 AS DOUBLE) AS value FROM g"""),
     "promql_subquery": ("max_over_time(event_value[1d:3h])", f"""WITH {_EVENTS}, {_grid(False)}, i AS (SELECT (({START} - {24 * H}) // {3 * H} + 1 + i) * {3 * H} AS it FROM range({(END - START + 24 * H) // (3 * H)}) r(i)),
 s AS (SELECT it, event_type, shard, arg_max(value, t) AS v FROM i JOIN e ON t > it - {6 * H} AND t <= it GROUP BY ALL)
 SELECT {_JSON} AS labels, g AS ts_ns, round(max(v), 6) AS value FROM g JOIN s ON it > g.g - {24 * H} AND it <= g.g GROUP BY g, event_type, shard"""),
@@ -133,7 +133,7 @@ SELECT {_JSON} AS labels, g AS ts_ns, round(v / m, 6) AS value FROM sel JOIN m U
     "promql_clamp_max": ("clamp_max(event_value, 60)", _out(_sel(), _JSON, "least(v, 60)")),
     "promql_time": ("time() + 1", f"WITH {_grid(False)} SELECT '{{}}' AS labels, g AS ts_ns, g / 1e9 + 1 AS value FROM g"),
     "promql_pi": ("pi()", f"WITH {_grid(False)} SELECT '{{}}' AS labels, g AS ts_ns, round(pi(), 6) AS value FROM g"),
-    "promql_vector": ("vector(3)", f"WITH {_grid(False)} SELECT '{{}}' AS labels, g AS ts_ns, 3.0 AS value FROM g"),
+    "promql_vector": ("vector(3)", f"WITH {_grid(False)} SELECT '{{}}' AS labels, g AS ts_ns, CAST(3 AS DOUBLE) AS value FROM g"),
     "promql_scalar": ("event_value * scalar(sum(event_value))", _out(_sel(), _JSON, "v * total", "FROM (SELECT *, sum(v) OVER (PARTITION BY g) AS total FROM sel)")),
     **{f"promql_{f}": (f"{f}(timestamp(event_value))", _out(_sel(), _JSON, sql.replace("$", "make_timestamp(CAST(ot // 1000 AS BIGINT))"))) for f, sql in {"minute": "minute($)", "hour": "hour($)", "day_of_week": "dayofweek($)", "day_of_month": "day($)", "day_of_year": "dayofyear($)", "days_in_month": "day(last_day($))", "month": "month($)", "year": "year($)"}.items()},
     "promql_label_replace": ('label_replace(event_value, "kind", "$1-x", "event_type", "(e|v)(.*)")', _out(_sel(), """CASE WHEN regexp_full_match(event_type, '(e|v).*') THEN '{"__name__":"event_value","event_type":"' || event_type || '","kind":"' || substr(event_type, 1, 1) || '-x","shard":"' || shard || '"}' ELSE """ + _N + " END", "v")),

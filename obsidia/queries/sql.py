@@ -48,9 +48,9 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "sql_self_join": "SELECT count(*) AS n FROM samples a JOIN samples b ON a.series_id = b.series_id AND a.value = b.value AND a.ts_ns < b.ts_ns",
     "sql_agg_filter": "SELECT label(labels, 'event_type') AS event_type, count(*) FILTER (WHERE value > 100) AS n FROM samples GROUP BY 1",
     "sql_rollup": "SELECT label(labels, 'event_type') AS event_type, label(labels, 'shard') AS shard, count(*) AS n FROM samples GROUP BY ROLLUP (1, 2)",
-    "sql_row_number": f"SELECT ts_ns, series_id, row_number() {_W} AS r FROM samples",
-    "sql_rank": "SELECT series_id, value, rank() OVER (PARTITION BY series_id ORDER BY value) AS r, dense_rank() OVER (PARTITION BY series_id ORDER BY value) AS d FROM samples",
-    "sql_ntile": f"SELECT ts_ns, series_id, ntile(4) {_W} AS q FROM samples",
+    "sql_row_number": f"SELECT ts_ns, series_id, cast(row_number() {_W} as bigint) AS r FROM samples",
+    "sql_rank": "SELECT series_id, value, cast(rank() OVER (PARTITION BY series_id ORDER BY value) as bigint) AS r, cast(dense_rank() OVER (PARTITION BY series_id ORDER BY value) as bigint) AS d FROM samples",
+    "sql_ntile": f"SELECT ts_ns, series_id, cast(ntile(4) {_W} as bigint) AS q FROM samples",
     "sql_lag_lead": f"SELECT ts_ns, series_id, lag(value) {_W} AS p, lead(value, 2) {_W} AS f FROM samples",
     "sql_cume_percent": "SELECT series_id, value, round(cume_dist() OVER (PARTITION BY series_id ORDER BY value), 9) AS c, round(percent_rank() OVER (PARTITION BY series_id ORDER BY value), 9) AS p FROM samples",
     "sql_frame_growing": f"SELECT ts_ns, series_id, round(sum(value) {_W}, 4) AS s, count(*) {_W} AS n FROM samples",
@@ -88,7 +88,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "spans_trace_lookup": "SELECT span_id, parent_span_id, name, duration_ns FROM spans WHERE trace_id = md5('5979')",
     "spans_window_overlap": ("SELECT count(*) AS n FROM spans WHERE start_ts <= timestamp_ntz'1996-06-01 00:00:00' AND end_ts >= timestamp_ntz'1996-05-01 00:00:00'", "SELECT count(*) AS n FROM spans WHERE start_ts <= TIMESTAMP '1996-06-01 00:00:00' AND end_ts >= TIMESTAMP '1996-05-01 00:00:00'"),
     "spans_duration_range": "SELECT name, count(*) AS n, max(duration_ns) AS longest FROM spans WHERE duration_ns > 86400000000000 GROUP BY name",
-    "spans_status_or": "SELECT status_code, count(*) AS n FROM spans WHERE status_code = 2 OR status_code = 1 GROUP BY status_code",
+    "spans_status_or": "SELECT cast(status_code as int) AS status_code, count(*) AS n FROM spans WHERE status_code = 2 OR status_code = 1 GROUP BY status_code",
     "spans_service_slowest": "SELECT service_name, span_id, trace_id, duration_ns FROM (SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY duration_ns DESC, trace_id, span_id, name) AS r FROM spans) t WHERE r <= 5",
     "spans_roots": "SELECT service_name, count(*) AS n FROM spans WHERE parent_span_id IS NULL GROUP BY service_name",
 }
