@@ -5,6 +5,8 @@ Maps can be neither join keys nor window partitions, so vectors carry the string
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,11 @@ def matches(labels: Column, name: str, op: str, value: str) -> Column:
     """Condition of one matcher on a label map; patterns are anchored."""
     have = F.coalesce(labels[name], F.lit(""))
     if op in ("=", "!="):
-        return have == value if op == "=" else have != value
+        # without the empty case the plain comparison is what a scan can use
+        return have != value if op == "!=" else labels[name] == value if value else have == value
+    if op == "=~" and re.fullmatch(r"[\w\- ]+(\|[\w\- ]+)*", value):
+        return labels[name].isin(value.split("|"))
+    if op == "=~" and (m := re.fullmatch(r"([\w\- ]+)\.\*", value)):
+        return labels[name].startswith(m[1])
     found = have.rlike(f"^(?s:{value})$")
     return found if op == "=~" else ~found

@@ -70,16 +70,22 @@ class Evaluator:
             found = assign(hists, grid, self.lookback, e.offset_ns, at).groupBy("k", "sig").agg(F.max_by(F.struct("hist", "stale", "ts_ns"), "ts_ns").alias("x")).where("not x.stale")
             df = found.select("k", "sig", "x.hist", F.col("x.ts_ns").alias("ots_ns"))
             return native.HistVector(spread(df, grid) if at is not None else df)
-        samples = self.source.samples(e.matchers)
+        samples = self.source.samples(e.matchers, *self.bounds(e, grid, at, self.lookback))
         found = assign(samples, grid, self.lookback, e.offset_ns, at).groupBy("k", "sig").agg(F.max_by(F.struct("value", "stale", "ts_ns"), "ts_ns").alias("x")).where("not x.stale")
         df = found.select("k", "sig", F.col("x.value").alias("value"), F.col("x.ts_ns").alias("ots_ns"))
         return Vector(spread(df, grid) if at is not None else df)
 
+    @staticmethod
+    def bounds(e: ast.Selector, grid: Grid, at: int | None, reach: int) -> tuple[int, int]:
+        """Times that windows of a length can hold."""
+        first, last = (grid.start, grid.end) if at is None else (at, at)
+        return first - e.offset_ns - reach, last - e.offset_ns
+
     def windows(self, e: ast.Expr, grid: Grid, previous: bool) -> tuple[DataFrame, int, bool]:
         """Samples by step of a range selector or subquery, its range, and whether its time is pinned."""
         at = self._at(e.at) if isinstance(e, ast.Selector | ast.Subquery) else None
         if isinstance(e, ast.Selector) and e.range_ns is not None:
-            samples = self.source.samples(e.matchers).where("not stale")
+            samples = self.source.samples(e.matchers, *self.bounds(e, grid, at, e.range_ns)).where("not stale")
         elif isinstance(e, ast.Subquery):
             samples = self.subquery(e, grid, at)
         else:

@@ -23,11 +23,11 @@ def micros(column: str) -> Column:
 
 def _labelled(df: DataFrame, **labels: Column) -> DataFrame:
     pairs = [x for k, v in labels.items() for x in (F.lit(k), v)]
-    return df.select(F.create_map(*pairs).alias("labels"), "ts_ns", "value", F.lit(False).alias("stale"))
+    return df.select(F.create_map(*pairs).alias("labels"), "ts_ns", "value", F.lit(False).alias("stale"), "ts")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 4).cast("string").alias("shard"), (micros("ts") * 1000).alias("ts_ns"), "value")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "event_type", (F.col("user_id") % 4).cast("string").alias("shard"), (micros("ts") * 1000).alias("ts_ns"), "value")
 
 
 def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,8 @@ def bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     counts = [F.sum((F.col("value") <= b).cast("long")).over(by) for b in BOUNDS] + [F.count("*").over(by)]
     names = [f"{b:g}" for b in BOUNDS] + ["+Inf"]
-    each = e.select("event_type", "ts_ns", F.array(*[F.struct(F.lit(n).alias("le"), c.cast("double").alias("value")) for n, c in zip(names, counts)]).alias("b")).select("event_type", "ts_ns", F.explode("b").alias("b"))
-    return _labelled(each.select("event_type", "ts_ns", "b.le", "b.value"), event_type=F.col("event_type"), le=F.col("le"))
+    each = e.select("event_type", "ts_ns", "ts", F.array(*[F.struct(F.lit(n).alias("le"), c.cast("double").alias("value")) for n, c in zip(names, counts)]).alias("b")).select("event_type", "ts_ns", "ts", F.explode("b").alias("b"))
+    return _labelled(each.select("event_type", "ts_ns", "ts", "b.le", "b.value"), event_type=F.col("event_type"), le=F.col("le"))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> SeriesSource:
