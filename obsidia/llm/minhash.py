@@ -90,6 +90,23 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (twin & (rank <= _K)).sum(axis=1) / np.maximum(used, 1), used
 
 
+def _least_estimate(similarity: float, used: np.ndarray) -> np.ndarray:
+    """Estimates from so many values that are not five standard errors below the threshold."""
+    return similarity - 5 * math.sqrt(similarity * (1 - similarity)) / np.sqrt(np.maximum(used, 1))
+
+
+def _overlaps(sketch: np.ndarray) -> np.ndarray:
+    """How many values each two sketches share, by one matrix product over the values that occur twice."""
+    m = len(sketch)
+    values, place, n = np.unique(sketch.ravel(), return_inverse=True, return_counts=True)
+    wanted = (n > 1) & (values != _NONE)
+    column = np.cumsum(wanted) - 1
+    keep = wanted[place]
+    holds = np.zeros((m, int(wanted.sum())), dtype=np.float32)
+    holds[np.repeat(np.arange(m), sketch.shape[1])[keep], column[place[keep]]] = 1
+    return holds @ holds.T
+
+
 def _compare(members: list[tuple], similarity: float, spanning: bool) -> list[tuple[int, int]]:
     """Pairs of one list that the estimates keep; members are (id, size, component, side, sketch).
 
@@ -98,16 +115,20 @@ def _compare(members: list[tuple], similarity: float, spanning: bool) -> list[tu
     m = len(members)
     ids, sizes, parts, side = (np.array([x[k] for x in members], dtype=np.int64) for k in range(4))
     sketch = np.frombuffer(b"".join(x[4] for x in members), dtype=np.uint32).reshape(m, _K)
+    overlap = _overlaps(sketch)
     kept_a, kept_b, kept_e = [], [], []
     for i in range(m - 1):
         j = np.arange(i + 1, m)
         ok = (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9) & (parts[i] != parts[j]) & (ids[i] != ids[j])
         ok &= (side[i] < 0) | (side[i] != side[j])
+        # the estimate rests on at least so many values and can't exceed all that the sketches share
+        rests = np.minimum(np.maximum(sizes[i], sizes[j]), _K)
+        ok &= overlap[i, i + 1 :] >= _least_estimate(similarity, rests) * rests - 1e-6
         j = j[ok]
         if not len(j):
             continue
         estimate, used = _estimates(np.repeat(sketch[i : i + 1], len(j), axis=0), sketch[j])
-        ok = estimate >= similarity - 5 * math.sqrt(similarity * (1 - similarity)) / np.sqrt(np.maximum(used, 1))
+        ok = estimate >= _least_estimate(similarity, used)
         kept_a.append(np.full(int(ok.sum()), i)), kept_b.append(j[ok]), kept_e.append(estimate[ok])
     if not kept_a:
         return []
