@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsidia.llm import _winnow, _words
-from obsidia.llm._common import keyed, same_row, slices, utf8, written
+from obsidia.llm._common import discard, keyed, same_row, slices, utf8, written
 from obsidia.llm._components import components
 from obsidia.llm._repeats import columns, digests
 
@@ -261,8 +261,12 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     joined = components(first)
     second = written(_verified(candidates(joined), classes, docs, size, percent))
     parts = components(first.unionByName(second))
-    per_class = classes.select("d1", "d2", "id").join(parts, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    found = rows.select("doc_id", "text_key", "n_shingles", "d1", "d2").join(per_class, ["d1", "d2"], "left")
+    # the caller may keep the result unread for long: leave it the narrow columns only
+    ids, narrow = written(classes.select("d1", "d2", "id")), written(rows.select("doc_id", "text_key", "n_shingles", "d1", "d2"))
+    for table in (rows, classes, prefix, counted, members, first, second):
+        discard(table)
+    per_class = ids.join(parts, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
+    found = narrow.join(per_class, ["d1", "d2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return found.select("doc_id", "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
