@@ -147,15 +147,19 @@ class Encoder:
         return sum([k[0] for k in known]), hashlib.sha256(" ".join([k[1] for k in known]).encode()).hexdigest(), hashlib.sha256(b"".join([k[2] for k in known])).hexdigest()
 
 
-def chunks(text: str) -> list[str] | None:
-    """The text cut before every single space between other characters, where the pattern always cuts too.
+def words(text: str) -> list[str] | None:
+    """The text cut at every single space between other characters, before which the pattern always cuts too.
 
     None if white space meets such a space, for then the pattern's look-ahead reaches across it, or the text is empty.
     """
     parts = text.split(" ")
-    if not text or any([not p or p[0].isspace() or p[-1].isspace() for p in parts]):
-        return None
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return parts if all(parts) and list(map(str.strip, parts)) == parts else None
+
+
+def chunks(text: str) -> list[str] | None:
+    """``words`` with their spaces before them."""
+    parts = words(text)
+    return parts and [parts[0], *[" " + p for p in parts[1:]]]
 
 
 class _Chunks(dict):

@@ -13,7 +13,9 @@ into the shared folder, totals are added up per source and partition, and each p
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,35 +26,77 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsidia.llm._common import slices, written
-from obsidia.llm.bpe import chunks
+from obsidia.llm.bpe import words
 
 _KEEP = 600_000
 _BROADCAST_ROWS = 100_000
 
 
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _by_ranks(path: str):
+    """The same encoder by ranks, several times as fast on single words; None if the file can't be read as ranks.
+
+    It can where a byte-level BPE has no normaliser and every merge makes the entry of the next id.
+    """
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t.get("normalized") for t in spec["added_tokens"]):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if [vocabulary.get(m) for m in merges] != list(range(256, 256 + len(merges))) or len(vocabulary) != 256 + len(merges):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
 class _Tokenizer:
     """Ids of texts as packed little-endian bytes; words between single spaces are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ranks = Tokenizer.from_file(path), _by_ranks(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        if self.ranks is None:
+            return self._packed(words)
+        code, encode = ("H" if self.kind == "<u2" else "I"), self.ranks.encode
+        return [array(code, encode(w, allowed_special="all")).tobytes() for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as a single call of the library gives them."""
         if len(self.known) > _KEEP:
             self.known.clear()
-        parts = [chunks(t) for t in texts]
-        new = list({p for ps in parts if ps for p in ps if p not in self.known})
-        self.known.update(zip(new, self._packed(new)))
         known = self.known
+        parts = [words(t) for t in texts]
+        new = set()
+        for ps in parts:
+            if ps:
+                new.update(ps[1:])
+        new = list(new.difference(known))
+        known.update(zip(new, self._words([" " + p for p in new])))
         whole = iter(self._packed([t for t, ps in zip(texts, parts) if ps is None]))
-        out = [next(whole) if ps is None else b"".join([known[p] for p in ps]) for ps in parts]
+        first = iter(self._words([ps[0] for ps in parts if ps]))
+        out = [next(whole) if ps is None else next(first) + b"".join(map(known.__getitem__, ps[1:])) for ps in parts]
         for p in new:
             if len(p) > 64:
                 del known[p]
