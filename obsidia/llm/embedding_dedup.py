@@ -6,10 +6,12 @@
    projections, and each meets the ones next to it.
 3. Every round joins, at each node, its neighbours with one another (those new to a list with all), and each node keeps
    its ``k`` best. Rounds end when hardly any list changes.
-4. Edges that may reach the threshold are tested and kept; they give the components.
-5. A list that is full of links is saturated: its node may have more of them than ``k``. Its list is enlarged to its
-   whole component: members meet in blocks of ``block`` by ``block`` and links are counted exactly, none is listed.
-6. An audit compares ``audit`` nodes with all nodes; while fewer than 99 in 100 of their links lie inside components,
+4. Every edge met on the way that may reach the threshold is tested and kept before lists are cut; they give components.
+5. A list that is full of links is saturated: its node may have more of them than ``k``, also in other components. So
+   components meet without lists: nodes with the same signs in one of several random tables are compared with all
+   others there that lie in another component. Tables are as many as a link at the threshold needs to share one.
+6. Members of a component meet in blocks of ``block`` by ``block`` and links are counted exactly, none is listed.
+7. An audit compares ``audit`` nodes with all nodes; while fewer than 99 in 100 of their links lie inside components,
    random orders are added and rounds go on, five times at most.
 
 Only the audited vectors, a fixed number, are broadcast.
@@ -17,6 +19,7 @@ Only the audited vectors, a fixed number, are broadcast.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsidia.llm._common import written
+from obsidia.llm._common import discard, written
 from obsidia.llm._components import components
 
 _SCALE = 127.0
 _SLACK = 0.02
 _NEAR = 3
+#: Probability that a link just at the threshold shares no table; closer ones are missed far less.
+_MISS = 1e-5
 
 
 def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -119,6 +124,79 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one
 
 
+def _tables(total: int, threshold: float) -> tuple[int, int]:
+    """Signs a table and number of tables, so that all but ``_MISS`` of links share one, at the least cost."""
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+    def tables(bits: int) -> float:
+        p = same**bits
+        return 1 if p >= 1 else math.ceil(math.log(_MISS) / math.log1p(-p)) if p > 1e-9 else math.inf
+
+    # a row costs about as much to move as to compare with 2048 others
+    bits = min(range(31), key=lambda b: tables(b) * (1 + total / 2**b / 2048))
+    return bits, int(tables(bits))
+
+
+def _bucket_keys(seeds: list[int], bits: int):
+    """Each node once a table, with the bucket of its projection signs there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = _codes(batch.column("code").to_pylist())
+            for seed in seeds:
+                p = planes.setdefault((seed, x.shape[1]), np.random.default_rng([7, seed]).normal(size=(x.shape[1], bits)).astype(np.float32))
+                signs = ((x @ p > 0).astype(np.int64) << np.arange(bits)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array((seed << bits) + signs), *(batch.column(c) for c in ("label", "id", "code"))], names=["bucket", "label", "id", "code"])
+
+    return run
+
+
+def _across(threshold: float):
+    """Pairs of each bucket, of different labels, that may be linked; of those that surely are, one for two labels."""
+
+    def solve(labels: np.ndarray, ids: np.ndarray, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        _, group, size = np.unique(labels, return_inverse=True, return_counts=True)
+        if len(size) < 2:
+            return
+        # of two labels one isn't the largest group's, which comes last and isn't compared with itself
+        order = np.argsort(group == size.argmax(), kind="stable")
+        group, ids, x = group[order], ids[order], _codes(raw)[order]
+        for s in range(0, len(ids) - int(size.max()), 128):
+            rows = np.arange(s, min(s + 128, len(ids) - int(size.max())))
+            sim = x[rows] @ x[s:].T
+            a, b = np.nonzero(sim >= threshold - _SLACK)
+            fit = (group[rows[a]] != group[s + b]) & (a < b)
+            a, b = a[fit], b[fit]
+            if len(a):
+                two = np.minimum(group[rows[a]], group[s + b]) * len(size) + np.maximum(group[rows[a]], group[s + b])
+                sure = np.flatnonzero(sim[a, b] >= threshold + _SLACK)
+                one = sure[np.unique(two[sure], return_index=True)[1]]
+                keep = np.concatenate([one, np.flatnonzero(~np.isin(two, two[one]))])
+                yield _edges(ids[rows[a[keep]]], ids[s + b[keep]], sim[a[keep], b[keep]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buckets = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if held and held[-1].column("bucket")[0].as_py() != buckets[begin]:
+                    yield from finish(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from finish(held)
+
+    def finish(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        yield from solve(t.column("label").to_numpy(), t.column("id").to_numpy(), t.column("code").to_pylist())
+
+    return run
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """Each node's k most similar neighbours; a pair counts once, as old if it was known before."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "new"))
@@ -243,24 +321,42 @@ def link_near(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
         ordered = keyed.repartitionByRange("seed", "key", "id").sortWithinPartitions("seed", "key", "id")
         return ordered.mapInArrow(_adjacent, "u long, v long, sim float").where("u <> v").withColumn("new", F.lit(True))
 
-    lists = written(_best(start(list(range(1, orders + 1))), k).drop("rank"))
+    def joined(links: DataFrame | None, edges: DataFrame) -> DataFrame:
+        """Links so far and those among ``edges`` that reach the threshold."""
+        likely = edges.where(F.col("sim") >= threshold - _SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = _tested(likely, nodes, threshold)
+        return written(found if links is None else found.unionByName(links).distinct())
+
+    def across(parts: DataFrame, seeds: list[int]) -> DataFrame:
+        """Likely links between components."""
+        labelled = codes.join(parts, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("label"), "id", "code")
+        keyed = labelled.mapInArrow(_bucket_keys(seeds, bits), "bucket long, label long, id long, code binary")
+        return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(threshold), "u long, v long, sim float")
+
+    bits, tables = _tables(total, threshold)
+    begun = written(start(list(range(1, orders + 1))))
+    lists = written(_best(begun, k).drop("rank"))
+    met = begun.select("u", "v", "sim")
     links, parts = None, None
     for attempt in range(5):
         for _ in range(rounds):
             fresh = written(_round(lists, codes, k))
             old = lists.withColumn("new", F.lit(False))
             lists = written(_best(old.select("u", "v", "sim", "new").unionByName(fresh.withColumn("new", F.lit(True))), k).drop("rank"))
+            discard(old)
+            met = met.unionByName(fresh)
             if lists.where("new").count() <= 0.01 * k * max(1, total):
                 break
-        likely = lists.where(F.col("sim") >= threshold - _SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = _tested(likely, nodes, threshold)
-        links = written(found if links is None else found.unionByName(links).distinct())
+        links = joined(links, met)
+        links = joined(links, across(components(links), list(range(tables * attempt, tables * (attempt + 1)))))
         parts = components(links)
         true, inside = audit_recall(nodes, parts, threshold, audit)
         if inside >= 0.99 * true:
             break
         seeds = list(range(100 * attempt + 101, 100 * attempt + 101 + 2 * orders))
-        lists = written(_best(lists.withColumn("new", F.lit(False)).unionByName(start(seeds)), k).drop("rank"))
+        met = written(start(seeds))
+        lists = written(_best(lists.withColumn("new", F.lit(False)).unionByName(met), k).drop("rank"))
+        met = met.select("u", "v", "sim")
 
     grouped = nodes.join(parts, F.col("id") == F.col("node"))
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from obsidia.llm import bit_sliced, embedding_dedup, quotation, registry, url_filter
@@ -50,6 +51,54 @@ def test_link_near(table):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def brute_links(x, ids):
+    """(vec_id, n_links, component_id, kept) of all rows by comparing all pairs."""
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = n @ n.T >= 0.9
+    np.fill_diagonal(linked, False)
+    reach = linked | np.eye(len(x), dtype=bool)
+    while not ((more := reach @ reach) == reach).all():
+        reach = more
+    label = [int(min(ids[j] for j in np.flatnonzero(r))) for r in reach]
+    return sorted((int(i), int(c), p, int(i) == p) for i, c, p in zip(ids, linked.sum(axis=1), label))
+
+
+def embedded(spark, x, ids):
+    return spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+
+
+def test_saturated_groups_meet(spark):
+    """Two tight groups whose ten best never cross, though all their members are linked."""
+    rng = np.random.default_rng(1)
+    a, b = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 64)))
+    b -= a * (a @ b)
+    b = 0.932 * a + np.sqrt(1 - 0.932**2) * b / np.linalg.norm(b)
+    x = np.concatenate([c + rng.normal(size=(15, 64)) * 0.004 for c in (a, b)])
+    x = np.concatenate([x, rng.normal(size=(1500, 64))])
+    want = brute_links(x, range(len(x)))
+    assert [w[1] for w in want[:30]] == [29] * 30
+    assert sorted(map(tuple, embedding_dedup.link_near(embedded(spark, x, range(len(x)))).collect())) == want
+
+
+def test_tables_reach_links():
+    """Several small tables find all planted pairs, and no list caps a bucket."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x[1::2] = x[::2] + rng.normal(size=(1500, 64)) * 0.45
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in np.argwhere(np.triu(x @ x.T >= 0.9, 1)).tolist()}
+    code = [r.tobytes() for r in np.round(x * 127).astype(np.int8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(range(3000)), pa.array(code, pa.binary())], names=["label", "id", "code"])
+    keyed = pa.Table.from_batches(embedding_dedup._bucket_keys(list(range(24)), 6)(iter([batch]))).sort_by("bucket")
+    got = pa.Table.from_batches(embedding_dedup._across(0.9)(iter(keyed.to_batches(max_chunksize=100))))
+    pairs = {(min(p), max(p)) for p in zip(got["u"].to_pylist(), got["v"].to_pylist())}
+    assert len(want) > 500 and want <= pairs
+    assert embedding_dedup._tables(100, 0.9) == (0, 1)
+    for total in (500_000, 10**8):
+        bits, tables = embedding_dedup._tables(total, 0.9)
+        assert bits and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= embedding_dedup._MISS
+
+
 def test_top_k(table):
     q = np.floor(256 * vectors()).astype(np.int64)
     want = []
