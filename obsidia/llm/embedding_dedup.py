@@ -11,14 +11,16 @@
    components meet without lists: nodes with the same signs in one of several random tables are compared with all
    others there that lie in another component. Tables are as many as a link at the threshold needs to share one.
 6. Members of a component meet in blocks of ``block`` by ``block`` and links are counted exactly, none is listed.
-7. An audit compares ``audit`` nodes with all nodes; while fewer than 99 in 100 of their links lie inside components,
-   random orders are added and rounds go on, five times at most.
+7. An audit compares nodes with all nodes: ``audit`` of them, and more until 300 have links or the sample is as large as
+   it may get. While less than 99 in 100 of a linked node's links lie inside its component on average, random orders
+   and tables are added and rounds go on. If ``attempts`` of that don't reach it, an error tells the recall.
 
-Only the audited vectors, a fixed number, are broadcast.
+Only the audited vectors are broadcast: 16,384 and about two million numbers at most.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -30,11 +32,15 @@ from pyspark.sql import functions as F
 from obsidia.llm._common import discard, written
 from obsidia.llm._components import components
 
+_LOG = logging.getLogger(__name__)
+_RECALL = 0.99
 _SCALE = 127.0
 _SLACK = 0.02
 _NEAR = 3
 #: Probability that a link just at the threshold shares no table; closer ones are missed far less.
 _MISS = 1e-5
+#: Linked nodes that an audit wants; nodes and numbers it takes at most.
+_LINKED, _AUDIT_MOST, _AUDIT_VALUES = 300, 16_384, 1 << 21
 
 
 def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -279,31 +285,55 @@ def usable(column: str):
     return F.col(column).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def audit_recall(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) -> tuple[int, int]:
-    """Links of ``sample`` nodes (those with the least hashed ids) found by brute force, and how many lie in one component."""
-    tagged = nodes.join(parts, F.col("id") == F.col("node"), "left").select("id", "embedding", F.coalesce("component", "id").alias("component"))
-    picked = tagged.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not picked:
-        return 0, 0
-    shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["component"], np.array(r["embedding"], dtype=np.float64)) for r in picked])
+def audit_recall(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) -> tuple[float, int]:
+    """Mean share of a node's links (by brute force) that lie in its component, and the number of nodes it was taken over.
+
+    Nodes come in the order of hashed ids; the sample grows from ``sample`` until ``_LINKED`` of them have links, all
+    nodes are in it or ``_AUDIT_MOST`` are (fewer for long vectors). Nodes count alike, whatever their group's size.
+    """
+    tagged = written(nodes.join(parts, F.col("id") == F.col("node"), "left").select("id", "embedding", F.coalesce("component", "id").alias("component")))
+    ordered = tagged.orderBy(F.xxhash64("id"), "id")
+    width = tagged.agg(F.max(F.size("embedding"))).first()[0] or 1
+    most = min(_AUDIT_MOST, max(sample, _AUDIT_VALUES // width))
+    shares: list[float] = []
+    done = 0
+    while done < most and len(shares) < _LINKED:
+        picked = ordered.offset(done).limit(min(most, max(sample, 4 * done)) - done).collect()
+        if not picked:
+            break
+        shares += _shares(tagged, picked, threshold)
+        done += len(picked)
+    discard(tagged)
+    return (sum(shares) / len(shares) if shares else 1.0), len(shares)
+
+
+def _shares(tagged: DataFrame, picked: list, threshold: float) -> list[float]:
+    w = max(len(r["embedding"]) for r in picked)
+    q = np.zeros((len(picked), w))
+    for row, r in zip(q, picked):
+        row[: len(r["embedding"])] = r["embedding"]
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    shared = tagged.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in picked]), np.array([r["component"] for r in picked]), q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts_, vectors = zip(*shared.value)
-        w = max(map(len, vectors))
-        q = np.stack([np.pad(v, (0, w - len(v))) for v in vectors])
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        ids, parts_, q = shared.value
         for batch in batches:
             x = _matrix(batch.column("embedding"))
-            x = np.pad(x, ((0, 0), (0, max(0, w - x.shape[1]))))[:, :w] / np.linalg.norm(x, axis=1, keepdims=True)
-            linked = (q @ x.T >= threshold) & (np.array(ids)[:, None] != batch.column("id").to_numpy()[None])
-            same = np.array(parts_)[:, None] == batch.column("component").to_numpy()[None]
-            yield pa.RecordBatch.from_arrays([pa.array([int(linked.sum())]), pa.array([int((linked & same).sum())])], names=["true", "found"])
+            x = np.pad(x, ((0, 0), (0, max(0, q.shape[1] - x.shape[1]))))[:, : q.shape[1]] / np.linalg.norm(x, axis=1, keepdims=True)
+            other, place = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+            for s in range(0, len(ids), 256):
+                a, b = np.nonzero(q[s : s + 256] @ x.T >= threshold)
+                a, b = a[ids[s + a] != other[b]], b[ids[s + a] != other[b]]
+                true, found = (np.bincount(a[use], minlength=256) for use in (slice(None), parts_[s + a] == place[b]))
+                some = np.flatnonzero(true)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + some]), pa.array(true[some]), pa.array(found[some])], names=["id", "true", "found"])
 
-    true, found = tagged.mapInArrow(run, "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-    return true or 0, found or 0
+    each = tagged.mapInArrow(run, "id long, true long, found long").groupBy("id").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).collect()
+    shared.unpersist()
+    return [r["found"] / r["true"] for r in each]
 
 
-def link_near(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, orders: int = 8, rounds: int = 5, block: int = 1024, audit: int = 200) -> DataFrame:
+def link_near(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, orders: int = 8, rounds: int = 5, block: int = 1024, audit: int = 200, attempts: int = 5) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per input row.
 
     Vectors are linked where their cosine is at least ``threshold``. Null, zero, or non-finite vectors, those that hold
@@ -338,7 +368,7 @@ def link_near(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     lists = written(_best(begun, k).drop("rank"))
     met = begun.select("u", "v", "sim")
     links, parts = None, None
-    for attempt in range(5):
+    for attempt in range(attempts):
         for _ in range(rounds):
             fresh = written(_round(lists, codes, k))
             old = lists.withColumn("new", F.lit(False))
@@ -350,9 +380,12 @@ def link_near(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
         links = joined(links, met)
         links = joined(links, across(components(links), list(range(tables * attempt, tables * (attempt + 1)))))
         parts = components(links)
-        true, inside = audit_recall(nodes, parts, threshold, audit)
-        if inside >= 0.99 * true:
+        recall, seen = audit_recall(nodes, parts, threshold, audit)
+        _LOG.info("attempt %d: recall %.4f over %d linked nodes of the audit", attempt + 1, recall, seen)
+        if recall >= _RECALL:
             break
+        if attempt == attempts - 1:
+            raise RuntimeError(f"embedding dedup: audited recall {recall:.4f} over {seen} linked nodes is below {_RECALL} after {attempts} attempts")
         seeds = list(range(100 * attempt + 101, 100 * attempt + 101 + 2 * orders))
         met = written(start(seeds))
         lists = written(_best(lists.withColumn("new", F.lit(False)).unionByName(met), k).drop("rank"))

@@ -80,6 +80,21 @@ def test_saturated_groups_meet(spark):
     assert sorted(map(tuple, embedding_dedup.link_near(embedded(spark, x, range(len(x)))).collect())) == want
 
 
+def test_audit_sees_sparse_pairs(spark, monkeypatch):
+    """A lost pair weighs as much as a large group, and the sample grows until it meets some."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    x[:40] = x[0] + rng.normal(size=(40, 16)) * 0.01
+    x[1000:1040] = x[960:1000] * 1.01 + 0.001
+    nodes = embedded(spark, x, range(1500)).withColumnRenamed("vec_id", "id")
+    parts = spark.createDataFrame([(i, 0) for i in range(40)], "node long, component long")
+    recall, seen = embedding_dedup.audit_recall(nodes, parts, 0.9, 10)
+    assert seen >= 120 and recall <= 0.34
+    monkeypatch.setattr(embedding_dedup, "audit_recall", lambda *_: (0.5, 7))
+    with pytest.raises(RuntimeError, match="0.5000 over 7"):
+        embedding_dedup.link_near(embedded(spark, x[:50], range(50)), rounds=1, attempts=1)
+
+
 def test_tables_reach_links():
     """Several small tables find all planted pairs, and no list caps a bucket."""
     rng = np.random.default_rng(4)
