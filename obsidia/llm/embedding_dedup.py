@@ -1,6 +1,6 @@
 """Embedding near-dedup by NN-descent.
 
-1. Equal vectors become one node with a count. Nodes are normalised; the search carries one signed byte per component,
+1. Equal vectors become one node with a count, an id of its own and the least ``vec_id`` as label. Nodes are normalised; the search carries one signed byte per component,
    links are tested on the original components in double precision.
 2. The first graph comes from a few random orders: nodes are range-partitioned and sorted by the signs of random
    projections, and each meets the ones next to it.
@@ -342,7 +342,7 @@ def link_near(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     live = rows.where(usable("embedding") & F.col("vec_id").isNotNull())
-    nodes = written(live.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).groupBy("id").agg(F.min_by(F.struct("embedding", "n"), "embedding").alias("x")).select("id", "x.embedding", "x.n"))
+    nodes = written(live.groupBy("embedding").agg(F.min("vec_id").alias("label"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("id"), "label", "embedding", "n"))
     codes = written(nodes.select("id", "embedding").mapInArrow(_quantise, "id long, code binary"))
     total = codes.count()
 
@@ -398,7 +398,9 @@ def link_near(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     met = grid.select("component", F.least("mine", "other").alias("lower"), F.greatest("mine", "other").alias("upper"), "id", "n", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"), "embedding")
     key = ["component", "lower", "upper"]
     counted = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_count_links(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    outcome = nodes.join(counted, "id", "left").join(parts, F.col("id") == F.col("node"), "left").select(F.col("embedding").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("label").alias("least"))
+    named = parts.join(least, "component").select("node", "least")
+    outcome = nodes.join(counted, "id", "left").join(named, F.col("id") == F.col("node"), "left").select(F.col("embedding").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "label").alias("component"))
     ready = rows.withColumn("same", F.when(usable("embedding") & F.col("vec_id").isNotNull(), F.col("embedding"))).select("vec_id", "same")
     result = ready.join(outcome, "same", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return result.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

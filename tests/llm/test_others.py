@@ -95,6 +95,14 @@ def test_audit_sees_sparse_pairs(spark, monkeypatch):
         embedding_dedup.link_near(embedded(spark, x[:50], range(50)), rounds=1, attempts=1)
 
 
+def test_one_id_with_two_vectors(spark):
+    x = np.random.default_rng(8).normal(size=(12, 8))
+    x[4:6], x[7] = x[1], x[0]
+    ids = [1, 1, 2, 3, 4, 5, 6, 9, 9, 10, 2, 12]
+    got = embedding_dedup.link_near(embedded(spark, x, ids), rounds=1)
+    assert sorted(map(tuple, got.collect())) == brute_links(x, ids)
+
+
 def test_tables_reach_links():
     """Several small tables find all planted pairs, and no list caps a bucket."""
     rng = np.random.default_rng(4)
