@@ -2,8 +2,9 @@
 
 A line's quote level is the number of ``>`` that lead it, spaces between them allowed. A passage is a stretch of lines
 of one level; quoted passages are normalised (ASCII and other letters lower-cased, white space collapsed) and hashed.
-A message's own text offers hashes of the whole, of each paragraph and of each line. A quoted passage links to the
-latest earlier message of its conversation that offers its hash; the shallowest linked quote, and of several the latest
+A message's own text offers hashes of the whole, of each stretch between quotes, of each paragraph and of each line. A
+quoted passage links to the latest earlier message of its conversation that offers its hash or that has all its lines
+(blank ones aside, each as often as it is quoted); the shallowest linked quote, and of several the latest
 message, is what a message replies to. Following replies up gives each message's thread and depth.
 """
 
@@ -31,19 +32,29 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
 
 
+def line_hashes(lines: Column) -> Column:
+    """Hashes of normalised lines that aren't blank."""
+    return F.transform(F.filter(F.transform(lines, _normal), lambda x: x != ""), F.md5)
+
+
 def parse(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``own`` (the text without quotes) and ``quotes array<struct<level, hash>>`` (non-empty ones, in order)."""
+    """Adds ``own`` (the text without quotes) and ``quotes array<struct<level, hash, lines>>`` (non-empty ones, in order).
+
+    ``lines`` are the hashes of a quote's lines; ``stretches`` are the texts between quotes.
+    """
     starts = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: (i == 1) | (F.element_at("_lines", i)["level"] != F.element_at("_lines", F.greatest(i - 1, F.lit(1)))["level"]))
 
     def passage(s: Column, j: Column) -> Column:
         after = F.coalesce(F.try_element_at("_starts", j + 2), F.size("_lines") + 1)
-        text = F.array_join(F.transform(F.slice("_lines", s, after - s), lambda x: x["content"]), "\n")
-        return F.struct(F.element_at("_lines", s)["level"].alias("level"), _normal(text).alias("normal"))
+        content = F.transform(F.slice("_lines", s, after - s), lambda x: x["content"])
+        return F.struct(F.element_at("_lines", s)["level"].alias("level"), content.alias("content"), _normal(F.array_join(content, "\n")).alias("normal"))
 
     own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n")
     out = df.withColumn("_lines", _lines(F.col(text_col))).withColumn("_starts", starts)
-    out = out.withColumn("_passages", F.filter(F.transform("_starts", passage), lambda p: (p["level"] > 0) & (p["normal"] != "")))
-    return out.withColumn("own", F.trim(own)).withColumn("quotes", F.transform("_passages", lambda p: F.struct(p["level"].alias("level"), F.md5(p["normal"]).alias("hash")))).drop("_lines", "_starts", "_passages")
+    out = out.withColumn("_passages", F.filter(F.transform("_starts", passage), lambda p: p["normal"] != ""))
+    quotes = F.transform(F.filter("_passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), F.md5(p["normal"]).alias("hash"), line_hashes(p["content"]).alias("lines")))
+    stretches = F.transform(F.filter("_passages", lambda p: p["level"] == 0), lambda p: p["normal"])
+    return out.withColumn("own", F.trim(own)).withColumn("quotes", quotes).withColumn("stretches", stretches).drop("_lines", "_starts", "_passages")
 
 
 def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -56,13 +67,20 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     """
     rows = parse(df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")))
     placed = rows.where("conv_id is not null and turn is not null")
-    units = F.filter(F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t\r]*\n"), F.split("own", "\n"))), lambda x: _normal(x) != "")
+    units = F.filter(F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t\r]*\n"), F.split("own", "\n"), F.col("stretches"))), lambda x: _normal(x) != "")
     offered = placed.select("conv_id", "turn", F.explode(F.transform(units, lambda x: F.md5(_normal(x)))).alias("hash"), F.lit(None).cast("int").alias("level"))
-    asked = placed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.hash", "q.level")
+    quoted = written(placed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.hash", "q.level", "q.lines"))
+    asked = quoted.select("conv_id", "turn", "hash", "level")
     # offers outside quoted conversations can't be asked for
     offered = offered.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = offered.unionByName(asked).withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(earlier)).where("level is not null and origin is not null")
+    # quotes of several lines by line: each line as often as it is quoted
+    parted = quoted.where(F.size("lines") > 1).select("conv_id", "turn", "level", "lines").distinct().withColumn("quote", F.md5(F.array_join("lines", "")))
+    wanted = parted.select("conv_id", "turn", "level", "quote", F.size(F.array_distinct("lines")).alias("different"), F.explode("lines").alias("line")).groupBy("conv_id", "turn", "level", "quote", "different", "line").agg(F.count("*").alias("times"))
+    had = placed.join(parted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("origin"), F.explode(line_hashes(F.split("own", "\n"))).alias("line")).groupBy("conv_id", "origin", "line").agg(F.count("*").alias("has"))
+    whole = wanted.join(had, ["conv_id", "line"]).where("origin < turn and has >= times").groupBy("conv_id", "turn", "level", "quote", "different", "origin").agg(F.count("*").alias("matched")).where("matched = different")
+    found = found.select("conv_id", "turn", "level", "origin").unionByName(whole.select("conv_id", "turn", "level", "origin"))
     replies = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("late"))).alias("x")).select("conv_id", "turn", (-F.col("x.late")).alias("reply_to"))
     replies = written(replies)
     # pointer doubling: each step follows twice as many replies

@@ -194,6 +194,18 @@ def test_quotation(spark, tmp_path):
     assert quotation.link_quotes(df.limit(0)).count() == 0
 
 
+PARTS = [
+    (1, 0, "line one\nline two\nline three"), (1, 1, "> line one\n> LINE  two\nyes"), (1, 2, "> line one\n> line three\nno"), (2, 0, "p one\nx\n\np two\n\np three"), (2, 1, "> p one\n> x\n>\n> p two\nmy a\nmy b\n> p three\nmy c"), (2, 2, "> my a\n> my b\nsure"),
+    (2, 3, "> my a my b\nrewrapped"), (2, 4, "> my b\n> my b\ntwice"), (2, 5, "> my a\n> never said\nno"),
+]
+
+
+def test_trimmed_and_interleaved_quotes(spark):
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in PARTS], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"]) for r in quotation.link_quotes(df).collect()}
+    assert got == {(1, 0): (None, 0, 0), (1, 1): (0, 0, 1), (1, 2): (0, 0, 1), (2, 0): (None, 0, 0), (2, 1): (0, 0, 1), (2, 2): (1, 0, 2), (2, 3): (1, 0, 2), (2, 4): (None, 4, 0), (2, 5): (None, 5, 0)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(40)]
