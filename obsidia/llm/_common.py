@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a folder of the session's own only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="obsidia-")
@@ -37,13 +40,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(df: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text) and ``text``; together the first two tell rows apart.
 
-    Rows alike in both are repeated rows: they get the same result.
+    Rows alike in both are repeated rows: they get the same result. ``more``: further columns by name.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *(c.alias(k) for k, c in more.items()))
 
 
 def same_row(left: str, right: str) -> Column:

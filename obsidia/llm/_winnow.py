@@ -16,8 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _POSITION_BITS = 26
 _POSITION = np.uint64((1 << _POSITION_BITS) - 1)
-#: Symbols in one buffer at most (positions are packed beside hashes).
-MAX_BUFFER = 1 << _POSITION_BITS
+#: Symbols that ``runs`` works on at once; positions are packed beside hashes, so 2**26 at most.
+MAX_BUFFER = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -82,8 +82,8 @@ def window_anchors(grams: np.ndarray, width: int) -> np.ndarray:
     padded = np.full(blocks * width, np.uint64(2**64 - 1))
     padded[: len(keys)] = keys
     table = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(table, axis=1).ravel()
-    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    ahead = np.minimum.accumulate(table, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _POSITION).astype(np.int64)
 
 
@@ -91,7 +91,22 @@ def runs(values: np.ndarray, lengths: np.ndarray, length: int, gram: int) -> tup
     """Runs of windows that own one anchor, for documents laid end to end.
 
     Returns document index, first window's start within the document, number of windows and anchor hash (int64).
+    Beyond ``MAX_BUFFER`` symbols documents are cut into stretches that overlap by ``length - 1``. A run may end where a
+    stretch does; its windows keep their anchors.
     """
+    if len(values) <= MAX_BUFFER:
+        return _runs(values, lengths, length, gram)
+    step = max(1, MAX_BUFFER - length + 1)
+    found = []
+    for d, (begin, n) in enumerate(zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist())):
+        for at in range(0, n - length + 1, step):
+            part = values[begin + at : begin + min(n, at + step + length - 1)]
+            _, start, windows, anchor = _runs(part, np.array([len(part)]), length, gram)
+            found.append((np.full(len(start), d), start + at, windows, anchor))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, dtype=np.int64),) * 4
+
+
+def _runs(values: np.ndarray, lengths: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(lengths)
     starts = ends - lengths
     grams = gram_hashes(values, gram)

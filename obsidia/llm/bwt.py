@@ -89,24 +89,33 @@ def common_prefixes(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     return order, value[:n]
 
 
-def repeated(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, which of its windows of ``length`` bytes occur anywhere else in the texts, itself included."""
+def repeated(texts: list[bytes], lengths: tuple[int, ...], counts: list[int]) -> list[list[np.ndarray]]:
+    """For each text and each of the lengths, which of its first so many positions start a string of that length that
+    also starts at another such position of any text, itself included."""
     if not texts:
         return []
-    lengths = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    starts = np.cumsum(lengths + 1) - lengths - 1
+    starts = np.cumsum(sizes + 1) - sizes - 1
     inside = np.ones(len(data), dtype=bool)
-    inside[starts + lengths] = False
+    inside[starts + sizes] = False
     present = np.zeros(256, dtype=bool)
     present[data[inside]] = True
     table = np.zeros(256, dtype=np.int64)
     table[present] = np.arange(1, int(present.sum()) + 1)
     codes = np.where(inside, table[data], 0)
     codes = codes.astype(np.uint8 if codes.max() < 256 else np.uint16)
-    order, value = common_prefixes(codes, length)
-    long = value >= length
-    twice = np.zeros(len(codes), dtype=bool)
-    twice[order[long]] = True
-    twice[order[np.flatnonzero(long) - 1]] = True
-    return [twice[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), lengths.tolist())]
+    order, value = common_prefixes(codes, max(lengths))
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for length in lengths:
+        asked = np.minimum(counts, np.maximum(sizes - length + 1, 0))
+        edge = np.zeros(len(codes) + 1, dtype=np.int32)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + asked, -1)
+        mine = np.cumsum(edge[:-1])[order] > 0
+        group = np.cumsum(value < length)
+        twice = np.zeros(len(codes), dtype=bool)
+        twice[order[mine & (np.bincount(group, mine)[group] > 1)]] = True
+        for o, s, n in zip(out, starts.tolist(), asked.tolist()):
+            o.append(twice[s : s + n])
+    return out

@@ -2,7 +2,7 @@
 
 1. Each window of ``length`` words is represented by its anchor, the gram of a few words that it owns by content. Every
    input partition counts the anchors of its windows in a count-min sketch of its own (``depth`` rows of ``width``
-   saturating counters); the partition sketches are merged block by block over the executors. A count is never too low.
+   saturating counters); the partition sketches are merged (``_sketch``). A count is never too low.
 2. A second pass over the texts keeps the windows whose anchor is estimated to occur twice or more, and only those are
    grouped exactly (``_repeats``). Since estimates err upward only, no repeated window is lost; a sketch that is too
    small for the data merely lets more windows through.
@@ -20,17 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsidia.llm import _winnow, _words
+from obsidia.llm import _sketch, _winnow, _words
 from obsidia.llm._common import keyed, same_row, slices, utf8, written
-from obsidia.llm._repeats import CLASS, RUNS, Unit, columns, covered_places, digests, flat_spans, repeated_windows
+from obsidia.llm._repeats import CLASS, RUNS, Unit, columns, covered_places, digests, flat_spans, level_spans, repeated_windows
 
 _GRAM = 8
-_BLOCK = 1 << 20
-_SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
-
-
-def _cells(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (_winnow.mix(anchors.view(np.uint64) * _SEED[row]) >> np.uint64(64 - (width.bit_length() - 1))).astype(np.int64)
 
 
 def _text_runs(batch: pa.RecordBatch, length: int) -> tuple[_words.Words, tuple[np.ndarray, ...]]:
@@ -38,53 +32,18 @@ def _text_runs(batch: pa.RecordBatch, length: int) -> tuple[_words.Words, tuple[
     return words, _winnow.runs(words.hashes(), words.per_doc, length, min(_GRAM, length))
 
 
-def _partition_sketch(length: int, width: int, depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((depth, width), dtype=np.uint8)
-        for batch in slices(batches, "text", 1 << 18):
-            _, (_, _, _, anchor) = _text_runs(batch, length)
-            for row in range(depth):
-                cell, n = np.unique(_cells(anchor, row, width), return_counts=True)
-                sketch[row, cell] = np.minimum(sketch[row, cell] + np.minimum(n, 2), 2)
-        for row in range(depth):
-            for block in range(-(-width // _BLOCK)):
-                part = sketch[row, block * _BLOCK : (block + 1) * _BLOCK]
-                if part.any():
-                    packed = np.packbits(part >= 1).tobytes() + np.packbits(part >= 2).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["row", "block", "counts"])
+def _anchors_of(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (_text_runs(batch, length)[1][3] for batch in slices(batches, "text", 1 << 18))
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the partition sketches of each block, up to two; rows come sorted by block."""
-    key, once, twice = None, None, None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["row", "block", "twice"])
-
-    for batch in batches:
-        for row, block, counts in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "counts"))):
-            a, b = np.frombuffer(counts, dtype=np.uint8).reshape(2, -1)
-            if (row, block) != key:
-                if key is not None:
-                    yield done()
-                key, once, twice = (row, block), a, b
-            else:
-                once, twice = once | a, twice | b | (once & a)
-    if key is not None:
-        yield done()
-
-
-def _estimated_runs(length: int, width: int, depth: int, sketch):
+def _estimated_runs(length: int, width: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
         for batch in slices(batches, "text", 1 << 18):
             words, (doc, start, windows, anchor) = _text_runs(batch, length)
-            keep = np.ones(len(doc), dtype=bool)
-            for row in range(depth):
-                cell = _cells(anchor, row, width)
-                keep &= (bits[row, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            keep = _sketch.maybe_twice(anchor, sketch.value, width)
             doc, start, windows, anchor = (x[keep] for x in (doc, start, windows, anchor))
             if not len(doc):
                 continue
@@ -110,15 +69,15 @@ def _unit(length: int) -> Unit:
         data, begin, end = w.flat.tobytes(), w.begin, w.end
         return [data[begin[r["start"]] : end[r["start"] + r["windows"] + length - 2]] for r in runs]
 
-    def windows(texts: list[bytes]) -> Iterator[list[bytes]]:
+    def windows(texts: list[bytes], counts: list[int]) -> Iterator[list[list[bytes]]]:
         w = _split(texts)
         data, begin, end = w.flat.tobytes(), w.begin.tolist(), w.end.tolist()
         first = 0
         for n in w.per_doc.tolist():
-            yield [data[begin[i] : end[i + length - 1]] for i in range(first, first + n - length + 1)]
+            yield [[data[begin[i] : end[i + length - 1]] for i in range(first, first + n - length + 1)]]
             first += n
 
-    def repeats(texts: list[bytes]) -> list[list[int]]:
+    def repeats(texts: list[bytes], counts: list[int]) -> list[list[int]]:
         w = _split(texts)
         rolled = _winnow.gram_hashes(w.hashes(), length)
         _, inverse, n = np.unique(rolled, return_inverse=True, return_counts=True)
@@ -134,9 +93,9 @@ def _unit(length: int) -> Unit:
                     flags[at] = flags[i] = True
             first += count
         bounds = np.cumsum(w.per_doc)
-        return [flat_spans(flags[b - n : b]) for b, n in zip(bounds.tolist(), w.per_doc.tolist())]
+        return [level_spans(flags[b - n : b]) for b, n in zip(bounds.tolist(), w.per_doc.tolist())]
 
-    return Unit(pieces, repeats, windows)
+    return Unit(1, pieces, repeats, windows)
 
 
 def _cut(length: int):
@@ -171,15 +130,10 @@ def remove_repeats(df: DataFrame, length: int = 35, id_col: str = "doc_id", text
     of each other; other columns are ignored. ``width`` (a power of two) and ``depth`` (up to 4) size the sketch; they
     change how much the second pass sees, never its result.
     """
-    width = 1 << (max(8, width) - 1).bit_length()
+    width = _sketch.power_of_two(width)
     docs = keyed(df, id_col, text_col)
-    merged = docs.select("text").mapInArrow(_partition_sketch(length, width, depth), "row int, block int, counts binary").repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merge, "row int, block int, twice binary")
-    bits = np.zeros((depth, -(-width // 8)), dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        part = np.frombuffer(r["twice"], dtype=np.uint8)
-        bits[r["row"], r["block"] * (_BLOCK // 8) : r["block"] * (_BLOCK // 8) + len(part)] = part
-    sketch = df.sparkSession.sparkContext.broadcast(bits)
-    shared = written(docs.mapInArrow(_estimated_runs(length, width, depth, sketch), RUNS))
+    sketch = _sketch.estimate(docs, _anchors_of(length), width, depth)
+    shared = written(docs.mapInArrow(_estimated_runs(length, width, sketch), RUNS))
     spread = docs.repartition("doc_id")
     per_doc = repeated_windows(spread, shared, _unit(length), hot)
     joined = spread.alias("l").join(per_doc.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "l.text_key", "l.text", "r.runs")

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from obsidia.llm import bpe, bwt, minhash, packing, substring_dedup, suffix_dedup, toxicity
+from obsidia.llm import _sketch, _winnow, bpe, bwt, minhash, packing, substring_dedup, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_key string, anchor long, id int"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -57,15 +57,40 @@ def repeats(sequences, length):
         yield gone
 
 
-@pytest.mark.parametrize(("length", "hot"), [(40, 2048), (40, 1), (400, 2048)])
-def test_suffix_dedup(docs, length, hot):
+@pytest.mark.parametrize(("length", "mark", "options"), [(40, None, {}), (40, 25, {"hot": 1}), (400, 240, {}), (400, 40, {"hot": 1}), (400, 400, {"width": 256, "depth": 1})])
+def test_suffix_dedup(docs, length, mark, options):
     raw = [t.encode() for _, t in TEXTS]
     want = []
-    for (d, _), r, gone in zip(TEXTS, raw, repeats(raw, length)):
+    for (d, _), r, gone, marked in zip(TEXTS, raw, repeats(raw, length), repeats(raw, mark or length)):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        want.append((d, len(r), sum(gone), spans, bytes(x for x, g in zip(r, gone) if not g)))
-    got = suffix_dedup.remove_repeats(docs, length=length, hot=hot).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept").collect()
-    assert sorted(map(str, [(*r[:4], bytes(r[4])) for r in got])) == sorted(map(str, want))
+        want.append((d, len(r), sum(gone), spans, sum(marked), bytes(x for x, g in zip(r, gone) if not g)))
+    got = suffix_dedup.remove_repeats(docs, length=length, mark=mark, **options).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "n_marked", "kept").collect()
+    assert sorted(map(str, [(*r[:5], bytes(r[5])) for r in got])) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("most", [100, 700])
+def test_long_texts_are_cut_into_stretches(docs, monkeypatch, most):
+    """Windows keep their anchors when a buffer is too long for one go."""
+
+    def owned(texts):
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        doc, start, windows, anchor = _winnow.runs(_winnow.byte_values(data), np.array([len(t) for t in texts]), 40, 6)
+        return sorted((d, s + i, a) for d, s, w, a in zip(doc.tolist(), start.tolist(), windows.tolist(), anchor.tolist()) for i in range(w))
+
+    texts = [t.encode() for _, t in TEXTS]
+    whole = owned(texts)
+    monkeypatch.setattr(_winnow, "MAX_BUFFER", most)
+    assert owned(texts) == whole and len(whole) > 10_000
+
+
+def test_sketch_levels(spark, docs, monkeypatch):
+    """Reports of many partitions merge in two levels, and nothing that occurs twice is lost."""
+    monkeypatch.setattr(_sketch, "_FAN", 2)
+    values = spark.range(4000).selectExpr("cast(id % 3000 as string) as text").repartition(7)
+    anchors = lambda batches: (np.array(b.column("text").to_pylist(), dtype=np.int64) for b in batches)
+    bits = _sketch.estimate(values, anchors, 1 << 21, 2).value
+    twice = _sketch.maybe_twice(np.arange(3000), bits, 1 << 21)
+    assert twice[:1000].all() and twice[1000:].sum() <= 5
 
 
 def test_suffix_dedup_keeps_whole_characters(spark):
@@ -124,8 +149,14 @@ def test_bwt_against_brute_force():
         letters = rng.choice([b"a", b"ab", b"\0ab", bytes(range(256))])
         base = bytes(rng.choice(letters) for _ in range(30))
         texts = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 20))) + base[rng.randint(0, 20) : rng.randint(10, 30)] for _ in range(rng.randint(1, 8))]
-        seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-        assert [x.tolist() for x in bwt.repeated(texts, length)] == [[seen[t[i : i + length]] > 1 for i in range(len(t) - length + 1)] for t in texts]
+        counts = [rng.randint(0, len(t)) for t in texts]
+        want = []
+        for n in (length, 2 * length):
+            starts = [range(min(c, max(0, len(t) - n + 1))) for t, c in zip(texts, counts)]
+            seen = Counter(t[i : i + n] for t, s in zip(texts, starts) for i in s)
+            want.append([[seen[t[i : i + n]] > 1 for i in s] for t, s in zip(texts, starts)])
+        got = bwt.repeated(texts, (length, 2 * length), counts)
+        assert [[x.tolist() for x in level] for level in zip(*got)] == want
 
 
 @pytest.fixture(scope="module")
