@@ -7,12 +7,13 @@ A document's set is its distinct word shingles, each a 64-bit hash. Its sketch i
    of their ``probes`` least values in common (but for one pair in a million at the threshold), so with values ordered
    from the rarest to the commonest it is enough to list each class under all but its ``needed - 1`` commonest ones:
    values that many documents share through a common passage mostly generate nothing.
-3. A list of more than ``block`` classes is replaced by lists over pairs of values, and what is still larger is compared
-   block against block, so that no task holds more than ``2 * block`` members and no list is cut short.
+3. A list of more than ``block`` classes is replaced by lists over pairs of values. What is still larger is cut into
+   blocks that a few members tie together; only where it then still holds several components is it compared block
+   against block. No task holds more than about ``2 * block`` members and no list is cut short.
 4. Within a list, the sketch of the union (the ``k`` least of both) estimates similarity. Pairs below the threshold by
    more than five standard errors are dropped; sets of up to ``k`` shingles are estimated exactly.
 5. Survivors are verified on the full sets, in two rounds: first those that span each list's estimated clusters; then,
-   with the components that these gave, only pairs whose ends are still apart.
+   with the components that these gave, only pairs whose ends are still apart. Lists of one component aren't read again.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from obsidia.llm._repeats import columns, digests
 
 _K = 128
 _NONE = np.uint32(0xFFFFFFFF)
+#: Members of a list of many blocks that meet all of them in the first round, about.
+_HUBS = 16
 
 
 def needed(probes: int, similarity: float, miss: float = 1e-6) -> int:
@@ -98,7 +101,7 @@ def _least_estimate(similarity: float, used: np.ndarray) -> np.ndarray:
 def _overlaps(sketch: np.ndarray) -> np.ndarray:
     """How many values each two sketches share, by one matrix product over the values that occur twice."""
     m = len(sketch)
-    values, place, n = np.unique(sketch.ravel(), return_inverse=True, return_counts=True)
+    values, place, n = np.unique(sketch.reshape(-1), return_inverse=True, return_counts=True)
     wanted = (n > 1) & (values != _NONE)
     column = np.cumsum(wanted) - 1
     keep = wanted[place]
@@ -114,44 +117,61 @@ def _compare(members: list[tuple], similarity: float, spanning: bool) -> list[tu
     """
     m = len(members)
     ids, sizes, parts, side = (np.array([x[k] for x in members], dtype=np.int64) for k in range(4))
+    if (parts == parts[0]).all():
+        return []
     sketch = np.frombuffer(b"".join(x[4] for x in members), dtype=np.uint32).reshape(m, _K)
     overlap = _overlaps(sketch)
-    kept_a, kept_b, kept_e = [], [], []
-    for i in range(m - 1):
-        j = np.arange(i + 1, m)
-        ok = (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9) & (parts[i] != parts[j]) & (ids[i] != ids[j])
-        ok &= (side[i] < 0) | (side[i] != side[j])
-        # the estimate rests on at least so many values and can't exceed all that the sketches share
-        rests = np.minimum(np.maximum(sizes[i], sizes[j]), _K)
-        ok &= overlap[i, i + 1 :] >= _least_estimate(similarity, rests) * rests - 1e-6
-        j = j[ok]
-        if not len(j):
-            continue
-        estimate, used = _estimates(np.repeat(sketch[i : i + 1], len(j), axis=0), sketch[j])
-        ok = estimate >= _least_estimate(similarity, used)
-        kept_a.append(np.full(int(ok.sum()), i)), kept_b.append(j[ok]), kept_e.append(estimate[ok])
-    if not kept_a:
-        return []
-    a, b, e = np.concatenate(kept_a), np.concatenate(kept_b), np.concatenate(kept_e)
-    if not spanning:
-        return list(zip(ids[a].tolist(), ids[b].tolist()))
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k in np.argsort(-e, kind="stable").tolist():
-        x, y = find(int(a[k])), find(int(b[k]))
-        if x != y:
-            root[x] = y
-            out.append((int(ids[a[k]]), int(ids[b[k]])))
+    larger = np.maximum(sizes[:, None], sizes)
+    # the estimate rests on at least so many values and can't exceed all that the sketches share
+    rests = np.minimum(larger, _K)
+    ok = np.triu(overlap >= _least_estimate(similarity, rests) * rests - 1e-6, 1)
+    ok &= (np.minimum(sizes[:, None], sizes) >= similarity * larger - 1e-9) & (parts[:, None] != parts) & (ids[:, None] != ids)
+    ok &= (side[:, None] < 0) | (side[:, None] != side)
+    if spanning:
+        return [(int(ids[x]), int(ids[y])) for x, y in _spanning(sketch, np.where(ok, overlap / rests, 0), similarity)]
+    out: list[tuple[int, int]] = []
+    a, b = np.nonzero(ok)
+    for at in range(0, len(a), 4096):
+        x, y = a[at : at + 4096], b[at : at + 4096]
+        good = _similar(sketch, x, y, similarity)[0]
+        out += zip(ids[x[good]].tolist(), ids[y[good]].tolist())
     return out
 
 
+def _similar(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs the union's sketch keeps, and its estimates."""
+    estimate, used = _estimates(sketch[a], sketch[b])
+    return estimate >= _least_estimate(similarity, used), estimate
+
+
+def _spanning(sketch: np.ndarray, score: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect all that estimates connect; ``score`` bounds estimates from above, zero rules a pair out.
+
+    In each round every member tries the most promising partners outside its cluster: one, or twice as many as in the
+    round before if that joined nothing.
+    """
+    score = np.maximum(score, score.T)
+    m, tries, out = len(score), 1, []
+    label = np.arange(m)
+    while True:
+        masked = np.where(label[:, None] != label, score, 0)
+        if not masked.any():
+            return out
+        best = masked.argmax(axis=1)[:, None] if tries == 1 else np.argpartition(-masked, tries - 1, axis=1)[:, :tries]
+        a, b = np.repeat(np.arange(m), best.shape[1]), best.reshape(-1)
+        use = masked[a, b] > 0
+        a, b = np.divmod(np.unique(np.minimum(a, b)[use] * m + np.maximum(a, b)[use]), m)
+        good, estimate = _similar(sketch, a, b, similarity)
+        score[a[~good], b[~good]] = score[b[~good], a[~good]] = 0
+        before = len(out)
+        for k in np.argsort(-estimate, kind="stable").tolist():
+            x, y = label[a[k]], label[b[k]]
+            if good[k] and x != y:
+                label[label == max(x, y)] = min(x, y)
+                out.append((a[k], b[k]))
+        tries = 1 if len(out) > before else min(m, 2 * tries)
+
+
 def _candidates(similarity: float, spanning: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, out = None, [], []
@@ -243,18 +263,29 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     doubled = shared.where(F.col("n") > block).select("id", F.explode("more").alias("other"), "value").where("other.value <> value").select(F.xxhash64(F.least("value", "other.value"), F.greatest("value", "other.value"), F.lit(2)).alias("list"), "id").distinct()
     counted = written(doubled.join(doubled.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list"))
     fits = counted.where(F.col("n") <= block).select("list", "id", F.lit(-1).alias("side"))
-    # larger ones: every block meets itself and each other one; side tells the two apart
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    grid = counted.where(F.col("n") > block).select("list", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    large = grid.select(F.xxhash64("list", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"), "id", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"))
-    members = written(small.unionByName(fits).unionByName(large))
+    members = written(small.unionByName(fits))
+    over = counted.where(F.col("n") > block).select("list", "id", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.col("n"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+
+    def part_of(lists: DataFrame, parts: DataFrame) -> DataFrame:
+        """Those of the lists that hold several components, and each member's."""
+        tagged = lists.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        several = tagged.groupBy("list").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("list")
+        return tagged.join(several, "list", "left_semi")
 
     def candidates(parts: DataFrame | None) -> DataFrame:
-        known = classes.select("id", "size", "sketch", F.col("id").alias("part"))
-        if parts is not None:
-            known = known.drop("part").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-        rows = members.join(known, "id").select("list", "id", "size", "part", "side", "sketch")
+        if parts is None:
+            # larger ones: a few members meet all blocks and tie them together; what they don't is left to the second round
+            hub = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / _HUBS)) == 0
+            where = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))
+            large = over.select("list", "id", F.explode(where).alias("at")).select(F.xxhash64("list", "at").alias("list"), "id", F.lit(-1).alias("side"))
+            lists = members.unionByName(large).withColumn("part", F.col("id"))
+        else:
+            # every block meets itself and each other one; side tells the two apart
+            grid = part_of(over, parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            large = grid.select(F.xxhash64("list", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"), "id", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"), "part")
+            lists = part_of(members, parts).unionByName(large)
+        rows = lists.join(classes.select("id", "size", "sketch"), "id").select("list", "id", "size", "part", "side", "sketch")
         return rows.repartition("list").sortWithinPartitions("list", "size", "id").mapInArrow(_candidates(percent / 100, parts is None), "a long, b long").distinct()
 
     first = written(_verified(candidates(None), classes, docs, size, percent))
