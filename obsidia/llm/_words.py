@@ -31,6 +31,19 @@ class Words:
         _, down = _winnow._power_tables(len(self.flat) + 1)
         return _winnow.mix((sums[self.end] - sums[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64))
 
+    def prefixes(self, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size, the words of that many bytes at least and a mixed hash of so many first ones."""
+        if not len(self.begin):
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)) for _ in sizes]
+        sums = _winnow.prefix_hashes(_winnow.byte_values(self.flat))
+        _, down = _winnow._power_tables(len(self.flat) + 1)
+        out = []
+        for size in sizes:
+            at = np.flatnonzero(self.end - self.begin >= size)
+            begin = self.begin[at]
+            out.append((at, _winnow.mix((sums[begin + size] - sums[begin]) * down[begin] + np.uint64(size << 32))))
+        return out
+
 
 def split(data: np.ndarray, lengths: np.ndarray) -> Words:
     """Words of each document; a document's end also ends its last word."""

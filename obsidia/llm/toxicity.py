@@ -28,6 +28,12 @@ for _a in range(26):
     _TERM[ord("A") + _a] = _TERM[ord("a") + _a] = ord("a") + _a
 
 
+#: Bytes of a word that are a stem.
+_STEMS = (6, 7)
+_SHARED = 0x2545F491
+_APART = 2.5
+
+
 class Model(NamedTuple):
     """``known``: 1 + row of a hashed term in ``weights`` and ``factors``, 0 for terms that carry nothing."""
 
@@ -42,10 +48,16 @@ def _terms(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents' distinct hashed terms: document index and term, sorted by both."""
     data, lengths = utf8(column)
     words = _words.split(_TERM[data], lengths)
-    term = (words.hashes() >> np.uint64(64 - bits)).astype(np.int64)
+    short = lambda h: (h >> np.uint64(64 - bits)).astype(np.int64)
+    term, mask = short(words.hashes()), (1 << bits) - 1
     doc = np.repeat(np.arange(len(lengths)), words.per_doc)
-    both = np.unique((doc << bits) | term)
-    return both >> bits, both & ((1 << bits) - 1)
+    found = [(doc << bits) | term]
+    for at, hashes in words.prefixes(_STEMS):
+        # a stem is a term, and another one where words of the document share it
+        stems, n = np.unique(np.unique((((doc[at] << bits) | short(hashes)) << bits) | term[at]) >> bits, return_counts=True)
+        found += [stems, (several := stems[n > 1]) & ~mask | (several * _SHARED & mask)]
+    both = np.unique(np.concatenate(found))
+    return both >> bits, both & mask
 
 
 def _margins(doc: np.ndarray, row: np.ndarray, n: int, bias: float, weights: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,23 +75,26 @@ def _margins(doc: np.ndarray, row: np.ndarray, n: int, bias: float, weights: np.
 def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, bits: int, rank: int = 4, least: int | None = None, epochs: int = 15, rate: float = 0.2, seed: int = 7) -> Model:
     """Fit on documents' terms by Adagrad on the logistic loss, with the linear weights soft-thresholded.
 
-    Terms of fewer than ``least`` documents are left out: by default one in 400, and 3.
+    Terms of fewer than ``least`` documents are left out: by default one in 400, and 3. So are those whose share of
+    label 1 lies within ``_APART`` standard errors of that of all documents.
     """
     least = max(3, len(label) // 400) if least is None else least
+    n = len(label)
     seen = np.bincount(term, minlength=1 << bits)
-    chosen = np.flatnonzero(seen >= least)
+    prior = (label.sum() + 0.5) / (n + 1) if n else 0.1
+    apart = np.bincount(term, label[doc], 1 << bits) - seen * prior
+    chosen = np.flatnonzero((seen >= least) & (apart**2 >= _APART**2 * seen * prior * (1 - prior)))
     known = np.zeros(1 << bits, dtype=np.int32)
     known[chosen] = np.arange(1, len(chosen) + 1)
     keep = known[term] > 0
     doc, row = doc[keep], known[term[keep]] - 1
-    n, m = len(label), len(chosen)
+    m = len(chosen)
     rng = np.random.default_rng(seed)
     weights, factors = np.zeros(m), rng.normal(0, 0.01, (m, rank))
-    prior = (label.sum() + 0.5) / (n + 1) if n else 0.1
     bias = float(np.log(prior / (1 - prior)))
     w2, f2, b2 = np.full(m, 1e-2), np.full((m, rank), 1e-2), 1e-2
     begin = np.searchsorted(doc, np.arange(n + 1))
-    l1, l2 = 5e-4, 1e-5
+    l1, l2 = 1e-4, 1e-5
     for _ in range(epochs if m and n else 0):
         order = rng.permutation(n)
         for i in range(0, n, 256):
