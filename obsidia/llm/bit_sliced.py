@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,8 @@ class Block:
             p += 1
         return out
 
-    def top(self, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own, ties to smaller ids, in no order."""
+    def top(self, query_id: int, weights: np.ndarray, k: int, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores (of type ``kind``) of the k best rows but the query's own, ties to smaller ids, in no order."""
         tied = self.rows.copy()
         own = np.searchsorted(self.ids, query_id)
         if own < len(self.ids) and self.ids[own] == query_id:
@@ -104,13 +105,13 @@ class Block:
                     break
         picked = self._set(sure)
         picked = np.concatenate([picked, self._set(tied)[: k - len(picked)]])
-        return self.ids[picked], self.values[picked] @ weights
+        return self.ids[picked], self.values[picked].astype(kind) @ weights.astype(kind)
 
     def _set(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _search(k: int, digits: int, wide: int):
+def _search(k: int, digits: int, wide: int, kind: type):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]
         if left.num_rows and right.num_rows:
@@ -118,10 +119,12 @@ def _search(k: int, digits: int, wide: int):
             for at in range(0, len(cid), _ROWS):
                 block = Block(cid[at : at + _ROWS], cv[at : at + _ROWS], digits)
                 for q, weights in zip(qid.tolist(), qv):
-                    ids, scores = block.top(q, weights, k)
+                    ids, scores = block.top(q, weights, k, kind)
                     for o, v in zip(out, (np.full(len(ids), q), ids, scores)):
                         o.append(v)
-        arrays = [pa.array(np.concatenate(o) if o else np.zeros(0, dtype=np.int64), pa.int64()) for o in out]
+        arrays = [pa.array(np.concatenate(o) if o else np.zeros(0, dtype=np.int64), pa.int64()) for o in out[:2]]
+        scores = np.concatenate(out[2]) if out[2] else np.zeros(0, dtype=np.int64)
+        arrays.append(pa.array(scores, pa.int64()) if kind is np.int64 else pa.array([Decimal(int(x)) for x in scores], pa.decimal128(38, 0)))
         return pa.Table.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
     return run
@@ -141,8 +144,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, i
     product of components ``floor(scale * x)``, without the row of its own id; ties go to smaller ids.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Rows that repeat
-    an id count once, with the least vector. Missing last components count as zero. Quantised components may have 26
-    binary digits at most; more is an error. Other columns are ignored.
+    an id count once, with the least vector. Missing last components count as zero. Quantised components may have 53
+    binary digits, which doubles hold exactly; more is an error. Ranks are exact whatever the scores; one that doesn't
+    fit a long is reported as null. Other columns are ignored.
 
     Queries meet all rows block by block; the grid of ``rows`` by ``queries_at_once`` bounds a task's memory.
     """
@@ -156,16 +160,17 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, i
     rows_q, queries_q = quantised(df), quantised(queries)
     size = lambda c: F.greatest(F.abs(F.coalesce(F.array_max(c), F.lit(0))), F.abs(F.coalesce(F.array_min(c), F.lit(0))))
     n, most, wide = rows_q.agg(F.count("*"), F.max(size("q")), F.max(F.size("q"))).first()
-    n_q, wide_q = queries_q.agg(F.count("*"), F.max(F.size("q"))).first()
+    n_q, most_q, wide_q = queries_q.agg(F.count("*"), F.max(size("q")), F.max(F.size("q"))).first()
     digits = int(most or 0).bit_length() + 1
-    if digits > 27:
-        raise ValueError("quantised components need more than 26 binary digits")
+    if max(int(most or 0), int(most_q or 0)) >= 1 << 53:
+        raise ValueError("quantised components need more than 53 binary digits")
+    long = int(most or 0) * int(most_q or 0) * max(wide or 0, wide_q or 0) < 1 << 63
     blocks, parts = max(1, math.ceil(n / rows)), max(1, math.ceil(n_q / queries_at_once))
     left = rows_q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = queries_q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(k, digits, max(wide or 0, wide_q or 0)), "query_id long, vec_id long, score long")
+    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(k, digits, max(wide or 0, wide_q or 0), np.int64 if long else object), f"query_id long, vec_id long, score {'long' if long else 'decimal(38,0)'}")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.expr("try_cast(score as bigint)").alias("score"))
 
 
 def op2_bit_sliced(spark, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def _place(schedule: Schedule, names: dict[str, int], window: int, kind: str, wi
             row = np.repeat(np.arange(len(n)), count)
             k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
             pairs, at = np.unique(np.stack([queue[row], k]), axis=1, return_inverse=True)
-            place = schedule.starts(pairs[0], pairs[1])[at.ravel()] - k * q
+            place = schedule.starts(pairs[0], pairs[1])[at.reshape(-1)] - k * q
             low, high = np.maximum(begin[row], k * q), np.minimum((begin + n)[row], (k + 1) * q)
             place += low
             # cut where a window ends; a quantum is no longer than a window
@@ -207,10 +207,11 @@ def pack(df: DataFrame, path: str, window: int = 2048, quantum: int = 256, end:
     bases = written(by_part.select("source", "part", "total", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base")))
     totals = [(r["source"], int(r["total"])) for r in bases.groupBy("source").agg(F.sum("total").alias("total")).orderBy("source").collect()]
     whole = sum(t for _, t in totals)
-    # products of quanta and weights stay within 63 bits
-    while whole // quantum > 1 << 30 and quantum < window:
-        quantum *= 2
-    weights = [max(1, round((targets or {}).get(s, t / max(whole, 1)) * (1 << 30))) for s, t in totals]
+    # products of quanta and weights stay within 63 bits: 30 bits of weight up to some 2**37 tokens, then fewer
+    bits = min(30, 61 - (2 * (whole // quantum) + 3).bit_length())
+    if bits < 10:
+        raise ValueError("too many tokens for this quantum")
+    weights = [max(1, round((targets or {}).get(s, t / max(whole, 1)) * (1 << bits))) for s, t in totals]
     schedule = Schedule([t for _, t in totals], weights, quantum)
     small = bases.select("source", "part", "base")
     if small.count() <= _BROADCAST_ROWS:

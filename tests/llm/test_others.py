@@ -135,6 +135,20 @@ def test_top_k(table):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_large_components(spark):
+    """A few huge components neither stop the search nor blur it, and scores may exceed a long."""
+    rows = [(0, [1.0, 2.0]), (1, [3.0e5, 1.0]), (2, [-3.0e5, 0.5]), (3, [2.0**44, 1.0]), (4, [2.0**44 + 1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for some in (rows[:3], rows):
+        q = {i: [int(np.floor(256 * v)) for v in x] for i, x in some}
+        want = []
+        for i in q:
+            score = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)
+            want += [(i, r + 1, j, -v if abs(v) < 2**63 else None) for r, (v, j) in enumerate(score)]
+        part = df.where(f"vec_id < {len(some)}")
+        assert sorted(map(tuple, bit_sliced.top_k(part, part).collect())) == sorted(want)
+
+
 def test_ties_go_to_smaller_ids(spark):
     df = spark.createDataFrame([(i, [0.5, -0.25]) for i in range(200)], "vec_id long, embedding array<float>")
     got = bit_sliced.top_k(df, df.where("vec_id = 2")).orderBy("rank").collect()
