@@ -75,7 +75,25 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "sql_levenshtein": ("SELECT severity_text, levenshtein(severity_text, 'ERRORS') AS d, find_in_set(severity_text, 'INFO,ERROR') AS f FROM logs", "SELECT severity_text, CAST(levenshtein(severity_text, 'ERRORS') AS INTEGER) AS d, CASE severity_text WHEN 'INFO' THEN 1 ELSE 2 END AS f FROM logs"),
     "sql_regexp": ("SELECT body, regexp_like(body, '[0-9]{2}') AS m, regexp_count(body, '[a-z]') AS c, regexp_replace_first(body, '[0-9]+', 'N') AS r, regexp_match_groups(body, '[0-9]+')[0] AS g FROM logs", "SELECT body, regexp_matches(body, '[0-9]{2}') AS m, CAST(len(regexp_extract_all(body, '[a-z]')) AS INTEGER) AS c, regexp_replace(body, '[0-9]+', 'N') AS r, regexp_extract(body, '[0-9]+') AS g FROM logs"),
     "sql_encode": ("SELECT body, lower(hex(body)) AS h, base64(cast(body as binary)) AS b FROM logs", "SELECT body, lower(hex(body)) AS h, base64(encode(body)) AS b FROM logs"),
-    "sql_struct": "SELECT ts_ns, named_struct('a', value).a AS a FROM samples".replace("named_struct('a', value).a", "value"),
+    "sql_struct": ("SELECT ts_ns, named_struct('a', value, 'b', ts_ns).a AS a, struct(value, 1).c0 AS c, row(ts_ns, value).c1 AS r, get_field(named_struct('z', value), 'z') AS g FROM samples", "SELECT ts_ns, value AS a, value AS c, value AS r, value AS g FROM samples"),
+    "sql_date_bin_interval": ("SELECT cast(date_bin(INTERVAL '15' MINUTE, ts) as string) AS bin, cast(date_bin(INTERVAL '1' DAY, ts, timestamp_ntz'2024-01-01 06:00:00') as string) AS shifted, count(*) AS n FROM logs GROUP BY 1, 2", "SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS bin, strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2024-01-01 06:00:00'), '%Y-%m-%d %H:%M:%S') AS shifted, count(*) AS n FROM logs GROUP BY 1, 2"),
+    "sql_trunc_names": ("SELECT ts_ns, trunc(value - 60, 1) AS t1, trunc(value) AS t, ceil(value) AS c, floor(value - 60) AS f FROM samples", "SELECT ts_ns, sign(value - 60) * floor(abs(value - 60) * 10) / 10 AS t1, trunc(value) AS t, ceil(value) AS c, floor(value - 60) AS f FROM samples"),
+    "sql_log_names": ("SELECT ts_ns, round(ln(value - 50), 6) AS l, round(log10(value), 6) AS d, round(log(value), 6) AS g, round(log(2, value), 6) AS b, round(log2(value), 6) AS t, isnan(ln(-value)) AS n FROM samples WHERE value > 50", "SELECT ts_ns, round(ln(value - 50), 6) AS l, round(log10(value), 6) AS d, round(log10(value), 6) AS g, round(log2(value), 6) AS b, round(log2(value), 6) AS t, true AS n FROM samples WHERE value > 50"),
+    "sql_concat": ("SELECT ts_ns, concat(body, span_id, '!') AS c FROM logs", "SELECT ts_ns, body || '!' AS c FROM logs"),
+    "sql_regexp_names": ("SELECT body, regexp_replace(body, '[0-9]', 'N') AS r, regexp_replace(body, '[0-9]', 'N', 'g') AS g, regexp_match(body, '([a-z]+) .*?([0-9]+)')[1] AS m, regexp_match(body, '[0-9]+')[0] AS w, regexp_match(body, 'nowhere') IS NULL AS z, regexp_instr(body, '[0-9]') AS p FROM logs", "SELECT body, regexp_replace(body, '[0-9]', 'N') AS r, regexp_replace(body, '[0-9]', 'N', 'g') AS g, regexp_extract(body, '([a-z]+) .*?([0-9]+)', 2) AS m, regexp_extract(body, '[0-9]+') AS w, true AS z, CAST(strpos(body, regexp_extract(body, '[0-9]')) AS INTEGER) AS p FROM logs"),
+    "sql_from_unixtime": ("SELECT ts_ns, cast(from_unixtime(ts_ns div 1000000000) as string) AS t, cast(to_local_time(ts) as date) AS d FROM logs", "SELECT ts_ns, strftime(make_timestamp(ts_ns // 1000000000 * 1000000), '%Y-%m-%d %H:%M:%S') AS t, CAST(ts AS DATE) AS d FROM logs"),
+    "sql_to_char": ("SELECT ts_ns, to_char(ts, '%Y-%m-%d at %H:%M:%S') AS t, date_format(ts, '%d/%m/%y %j') AS d FROM logs", "SELECT ts_ns, strftime(ts, '%Y-%m-%d at %H:%M:%S') AS t, strftime(ts, '%d/%m/%y %j') AS d FROM logs"),
+    "sql_encode_names": ("SELECT body, encode(body, 'hex') AS h, encode(body, 'base64') AS b, cast(decode(encode(body, 'hex'), 'hex') as string) AS u, cast(decode(encode(body, 'base64'), 'base64') as string) AS v FROM logs", "SELECT body, lower(hex(body)) AS h, rtrim(base64(encode(body)), '=') AS b, body AS u, body AS v FROM logs"),
+    "sql_arrow_names": ("SELECT ts_ns, arrow_typeof(value) AS a, arrow_typeof(ts_ns) AS b, arrow_typeof(cast(value as string)) AS c, arrow_cast(ts_ns, 'Utf8') AS d, arrow_try_cast('x', 'Int64') AS e, cast_to_type('12', 1) AS f, try_cast_to_type('x1', 1) AS g FROM samples", "SELECT ts_ns, 'Float64' AS a, 'Int64' AS b, 'Utf8' AS c, CAST(ts_ns AS VARCHAR) AS d, CAST(NULL AS BIGINT) AS e, 12 AS f, CAST(NULL AS INTEGER) AS g FROM samples"),
+    "sql_more_trigonometry": "SELECT ts_ns, round(acos(value / 1e6), 9) AS a, round(asin(value / 1e6), 9) AS b, round(acosh(value + 1), 6) AS c, round(atanh(value / 1e6), 9) AS d, round(tan(value / 1000), 6) AS t FROM samples",
+    "sql_more_numbers": ("SELECT ts_ns, pow(value, 2) AS p, signum(value - 50) AS s, isnan(value) AS n, nanvl(value, 0) AS v FROM samples", "SELECT ts_ns, value ** 2 AS p, CAST(sign(value - 50) AS DOUBLE) AS s, isnan(value) AS n, value AS v FROM samples"),
+    "sql_more_strings": ("SELECT body, character_length(body) AS n, ltrim(concat('  ', severity_text, ' ')) AS l, rtrim(concat(' ', severity_text, '  ')) AS r, substring(body, 2, 4) AS s, substr_index(body, ' ', 1) AS i FROM logs", "SELECT body, CAST(length(body) AS INTEGER) AS n, severity_text || ' ' AS l, ' ' || severity_text AS r, substring(body, 2, 4) AS s, split_part(body, ' ', 1) AS i FROM logs"),
+    "sql_more_times": ("SELECT ts_ns, cast(datepart('hour', ts) as bigint) AS h, cast(datetrunc('day', ts) as date) AS d, make_date(2024, 2, cast(k % 28 + 1 as int)) AS m, cast(make_time(cast(k % 24 as int), 5, 6) as string) AS t, cast(to_time('04:05:06') as string) AS u FROM logs", "SELECT ts_ns, date_part('hour', ts) AS h, CAST(date_trunc('day', ts) AS DATE) AS d, make_date(2024, 2, CAST(k % 28 + 1 AS INTEGER)) AS m, lpad(CAST(k % 24 AS VARCHAR), 2, '0') || ':05:06' AS t, '04:05:06' AS u FROM logs"),
+    "sql_to_timestamp": ("SELECT ts_ns, cast(to_timestamp(cast(ts as string)) as string) AS a, cast(to_timestamp_micros(ts_ns div 1000) as string) AS b, cast(to_timestamp_millis(ts_ns div 1000000000 * 1000) as string) AS c, cast(to_timestamp_nanos(ts_ns div 1000000000 * 1000000000) as string) AS d, cast(to_timestamp_seconds(ts_ns div 1000000000) as string) AS e FROM logs WHERE ts_ns % 1000000000 = 0", "SELECT ts_ns, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts, '%Y-%m-%d %H:%M:%S') AS b, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c, strftime(ts, '%Y-%m-%d %H:%M:%S') AS d, strftime(ts, '%Y-%m-%d %H:%M:%S') AS e FROM logs WHERE ts_ns % 1000000000 = 0"),
+    "sql_cube": "SELECT label(labels, 'event_type') AS event_type, label(labels, 'shard') AS shard, count(*) AS n FROM samples GROUP BY CUBE (1, 2)",
+    "sql_grouping_sets": "SELECT label(labels, 'event_type') AS event_type, label(labels, 'shard') AS shard, count(*) AS n FROM samples GROUP BY GROUPING SETS ((label(labels, 'event_type')), (label(labels, 'shard')), ())",
+    "sql_intersect_all": "SELECT label(labels, 'event_type') AS x FROM samples WHERE value > 100 INTERSECT ALL SELECT label(labels, 'event_type') AS x FROM samples WHERE value < 50",
+    "sql_except_all": "SELECT label(labels, 'shard') AS x FROM samples WHERE value > 20 EXCEPT ALL SELECT label(labels, 'shard') AS x FROM samples WHERE value > 100",
     "sql_cast": ("SELECT ts_ns, cast(value as bigint) AS i, cast(k as string) AS s, try_cast(body as double) AS t FROM (SELECT ts_ns, k + 0.25D AS value, k, body FROM logs)", "SELECT ts_ns, CAST(floor(k + 0.25) AS BIGINT) AS i, CAST(k AS VARCHAR) AS s, TRY_CAST(body AS DOUBLE) AS t FROM logs"),
     "logs_has_word": ("SELECT doc_id FROM logs_text WHERE has_word(body, 'the')", f"SELECT doc_id FROM logs_text WHERE contains(' ' || {_WORDS} || ' ', ' the ')"),
     "logs_has_phrase": ("SELECT doc_id FROM logs_text WHERE has_word(body, 'The, and')", f"SELECT doc_id FROM logs_text WHERE contains(' ' || {_WORDS} || ' ', ' the and ')"),

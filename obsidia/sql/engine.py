@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from obsidia.errors import CrossSignalQuery, SqlParse
 from obsidia.sources import views
 from obsidia.sql.functions import register
+from obsidia.sql.names import rewritten
 from obsidia.sql.validate import validate
 
 VIEWS = {"samples": views.samples, "logs": views.logs, "spans": views.spans, "logs_text": views.logs_text}
@@ -24,7 +25,7 @@ def run(spark: SparkSession, sf_dir: str, text: str, strict: bool = True) -> Dat
     elif signal is not None:
         raise CrossSignalQuery(f"{signal} is not bound here")
     try:
-        return spark.sql(text)
+        return spark.sql(rewritten(text))
     except Exception as e:  # the parser's own class carries no code worth keeping
         if "PARSE_SYNTAX_ERROR" in str(e):
             raise SqlParse(str(e).splitlines()[0]) from None

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_TOKENS = r"filter(split(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')"
+#: Lower-cased runs of letters and digits, each cut to what 64 bytes of UTF-8 hold.
+_TOKENS = r"transform(filter(split(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> ''), x -> CASE WHEN octet_length(x) <= 64 THEN x ELSE array_max(filter(transform(sequence(16, 64), n -> substring(x, 1, n)), p -> octet_length(p) <= 64)) END)"
 
 #: name(parameters): body
 FUNCTIONS = {
@@ -30,14 +31,15 @@ FUNCTIONS = {
     "regexp_match_groups(t STRING, re STRING)": "CASE WHEN t rlike re THEN regexp_extract_all(t, re, 0) END",
     "regexp_replace_first(t STRING, re STRING, r STRING)": "regexp_replace(t, concat('(?s)^(.*?)(?:', re, ')'), concat('$1', r))",
     "concat_skip(a STRING, b STRING)": "concat_ws('', a, b)",
-    "arrow_typeof_text(x STRING)": "typeof(x)",
+    "ceil_double(x DOUBLE)": "CASE WHEN isnan(x) OR abs(x) >= 4503599627370496 THEN x ELSE cast(ceil(x) as double) END",
+    "floor_double(x DOUBLE)": "CASE WHEN isnan(x) OR abs(x) >= 4503599627370496 THEN x ELSE cast(floor(x) as double) END",
+    "ln_ieee(x DOUBLE)": "CASE WHEN x > 0 THEN ln(x) WHEN x = 0 THEN double('-Infinity') WHEN x < 0 THEN double('NaN') END",
+    "log2_ieee(x DOUBLE)": "CASE WHEN x > 0 THEN log2(x) WHEN x = 0 THEN double('-Infinity') WHEN x < 0 THEN double('NaN') END",
+    "log10_ieee(x DOUBLE)": "CASE WHEN x > 0 THEN log10(x) WHEN x = 0 THEN double('-Infinity') WHEN x < 0 THEN double('NaN') END",
 }
 
-#: Names of the reference surface that a built-in of another name or a form above covers.
-RENAMED = {"row": "struct", "datepart": "date_part", "arrow_cast": "cast", "arrow_try_cast": "try_cast", "concat": "concat_ws('', ...)", "regexp_replace": "regexp_replace_first", "trunc": "truncate_to", "date_bin": "date_bin_us", "regexp_match": "regexp_match_groups"}
-
-
 def register(spark: SparkSession) -> None:
-    """Create the functions in the session."""
+    """Create the functions in the session, and admit its TIME type."""
+    spark.conf.set("spark.sql.timeType.enabled", "true")
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
