@@ -74,19 +74,20 @@ def active_steps(df: DataFrame, rule: Rule) -> DataFrame:
 
 
 def history(steps: DataFrame, for_ns: int) -> DataFrame:
-    """Transitions ``ts_ns, state`` of one rule's evaluations, by window functions alone.
+    """Transitions ``ts_ns, state`` of evaluations, by window functions alone; by ``alert_id`` where there is one.
 
     A run of active steps is pending from its first and firing from the first that is ``for_ns`` later; the first
     inactive step after it resolves it, or drops it if it never fired.
     """
-    by = Window.orderBy("ts_ns")
+    key = [c for c in steps.columns if c == "alert_id"]
+    by = Window.partitionBy(*key).orderBy("ts_ns")
     runs = steps.withColumn("change", (F.coalesce(F.lag("active").over(by), F.lit(False)) != F.col("active")).cast("int")).withColumn("run", F.sum("change").over(by))
-    inside = runs.withColumn("since", F.min("ts_ns").over(Window.partitionBy("run")))
+    inside = runs.withColumn("since", F.min("ts_ns").over(Window.partitionBy(*key, "run")))
     fires = F.col("active") & (F.col("ts_ns") - F.col("since") >= for_ns)
     stated = inside.withColumn("state", F.when(fires, "firing").when(F.col("active"), "pending").otherwise("inactive"))
     before = stated.withColumn("prior", F.coalesce(F.lag("state").over(by), F.lit("inactive")))
     state = F.when((F.col("state") == "inactive") & (F.col("prior") == "firing"), "resolved").otherwise(F.col("state"))
-    return before.where(F.col("state") != F.col("prior")).select("ts_ns", state.alias("state"))
+    return before.where(F.col("state") != F.col("prior")).select(*key, "ts_ns", state.alias("state"))
 
 
 def latest(records: DataFrame) -> DataFrame:
@@ -99,6 +100,19 @@ def webhook(records: DataFrame) -> DataFrame:
     return records.select("alert_id", F.to_json(F.struct(*records.columns)).alias("payload"))
 
 
+def alertmanager(records: DataFrame, generator_url: str = "") -> DataFrame:
+    """``alert_id, payload``: each firing or resolved record as an alert of the Alertmanager v2 API.
+
+    Labels and annotations come from ``attrs`` (``label.`` and ``annotation.``); the rule's id is the ``alertname``.
+    A firing alert has no end.
+    """
+    named = lambda prefix: F.transform_keys(F.map_filter("attrs", lambda k, v: k.startswith(prefix)), lambda k, v: F.substring(k, len(prefix) + 1, 512))
+    labels = F.map_concat(F.map_filter(named("label."), lambda k, v: k != "alertname"), F.create_map(F.lit("alertname"), F.col("rule_id")))
+    time = lambda ns: F.date_format(F.timestamp_micros(F.expr(f"{ns} div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    alert = F.struct(labels.alias("labels"), named("annotation.").alias("annotations"), time("since_ns").alias("startsAt"), F.when(F.col("state") == "resolved", time("ts_ns")).alias("endsAt"), F.lit(generator_url).alias("generatorURL"))
+    return records.where("state in ('firing', 'resolved')").select("alert_id", F.to_json(F.array(alert)).alias("payload"))
+
+
 def stream_states(steps: DataFrame, for_ns: int) -> DataFrame:
     """Streaming state machine over ``alert_id, ts_ns, active``: ``alert_id, ts_ns, state`` at each transition."""
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obsidia.errors import AnalyticsError, EmptySeries
 from obsidia.functions import labels as L
 from obsidia.operators import evaluate
 from obsidia.operators.grid import Grid
@@ -17,6 +18,10 @@ from obsidia.sources import views
 from obsidia.sources.series import SeriesSource
 
 
+#: Series that one analysis takes.
+MAX_SERIES = 1000
+
+
 @dataclass
 class Engine:
     """Queries over one source; times are nanoseconds since the epoch."""
@@ -50,7 +55,7 @@ class Engine:
             tree = parse(text)
             if not isinstance(tree, ast.Selector):
                 raise evaluate.Parse("match[] takes selectors")
-            parts.append(self.source.samples(tree.matchers))
+            parts.append(self.source.samples(tree.matchers, start, end))
         found = reduce(DataFrame.unionByName, parts)
         return found.where((F.col("ts_ns") >= start) & (F.col("ts_ns") <= end)).select("sig").distinct()
 
@@ -85,11 +90,32 @@ class Engine:
             picked = cond if picked is None else picked | cond
         return e.where(picked & F.col("ts_ns").between(start, end))
 
-    def sql(self, text: str, strict: bool = True) -> DataFrame:
-        """A read-only query over one signal table."""
+    def sql(self, text: str, strict: bool = True, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+        """A read-only query over one signal table; ``tables`` take the place of the engine's own by name."""
         from obsidia.sql.engine import run
 
-        return run(self.spark, self.sf_dir, text, strict)
+        return run(self.spark, self.sf_dir, text, strict, tables)
+
+    def analytics(self, match: str, start: int, end: int, analysis: str = "summary", percentiles: tuple[float, ...] = (50, 95), most: int = MAX_SERIES) -> DataFrame:
+        """``summary`` or ``change_point`` of each series that a selector names, over a closed window.
+
+        No series at all, or more than ``most``, is an error.
+        """
+        from obsidia.analytics.change_point import change_points
+        from obsidia.analytics.summary import summary
+
+        if analysis not in ("summary", "change_point"):
+            raise AnalyticsError(f"unknown analysis {analysis}")
+        tree = parse(match)
+        if not isinstance(tree, ast.Selector):
+            raise evaluate.Parse("analytics take a selector")
+        rows = self.source.samples(tree.matchers, start, end).where(~F.col("stale") & F.col("ts_ns").between(start, end)).select(F.col("sig").alias("labels"), "ts_ns", "value")
+        found = rows.select("labels").distinct().limit(most + 1).count()
+        if found == 0:
+            raise EmptySeries("no series")
+        if found > most:
+            raise AnalyticsError(f"more than {most} series")
+        return summary(rows, ["labels"], percentiles=percentiles) if analysis == "summary" else change_points(rows, "labels")
 
 
 def selectors(e: ast.Expr) -> list[ast.Selector]:

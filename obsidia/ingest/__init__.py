@@ -15,9 +15,9 @@ RESERVED = ("service.namespace", "service.name", "service.instance.id")
 
 
 def sanitised(name: Column, metric: bool = True) -> Column:
-    """Every illegal character becomes an underscore; a leading digit gets one before it."""
+    """Every illegal character becomes an underscore, a leading digit too."""
     clean = F.regexp_replace(name, r"[^a-zA-Z0-9_:]" if metric else r"[^a-zA-Z0-9_]", "_")
-    return F.regexp_replace(clean, r"^([0-9])", "_$1")
+    return F.regexp_replace(clean, r"^[0-9]", "_")
 
 
 def unit_suffix(unit: Column, gauge: Column) -> Column:

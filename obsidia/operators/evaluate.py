@@ -457,16 +457,19 @@ class Evaluator:
         many, one = (right, left) if swapped else (left, right)
         many = many.select("k", key.alias("m"), F.col("sig").alias("sig"), F.col("value").alias("mv"))
         one = one.select("k", key.alias("m"), F.col("sig").alias("one_sig"), F.col("value").alias("ov")).groupBy("k", "m").agg(F.first("one_sig").alias("one_sig"), F.first("ov").alias("ov"), F.count("*").alias("ones"))
+        ambiguous = F.raise_error(F.concat(F.lit("AmbiguousMatch: several series for "), F.col("m")))
+        # a filter below the join: a repeated key is an error even where nothing meets it
+        one = one.where(F.when(F.col("ones") > 1, ambiguous.cast("boolean")).otherwise(F.lit(True)))
         rows = many.join(one, ["k", "m"])
-        problem = F.col("ones") > 1
+        problem = F.lit(False)
         if m.group is None:
             rows = rows.withColumn("many", F.count("*").over(Window.partitionBy("k", "m")))
-            problem = problem | (F.col("many") > 1)
+            problem = F.col("many") > 1
         a, b = (F.col("ov"), F.col("mv")) if swapped else (F.col("mv"), F.col("ov"))
         compares = e.op in I.COMPARISON
         keeps = compares and not e.bool_
         value = a if keeps else self.computed(e.op, a, b)
-        guarded = F.when(problem, F.raise_error(F.concat(F.lit("AmbiguousMatch: several series for "), F.col("m"))).cast("double")).otherwise(value)
+        guarded = F.when(problem, ambiguous.cast("double")).otherwise(value)
         if m.group is not None:
             sig = F.col("sig") if keeps else L.drop_name(F.col("sig"))
             if m.include:
@@ -479,7 +482,12 @@ class Evaluator:
             sig = L.drop(F.col("sig"), dropped) if dropped else F.col("sig")
         if keeps:
             rows = rows.where(problem | I.COMPARISON[e.op](a, b))
-        return self.finished(rows.select("k", sig.alias("sig"), guarded.alias("value")), grid)
+        out = rows.select("k", sig.alias("sig"), guarded.alias("value"))
+        if m.group is not None:
+            # labels that were dropped or copied may have told series apart
+            alike = F.count("*").over(Window.partitionBy("k", "sig")) > 1
+            out = out.withColumn("alike", alike).select("k", "sig", F.when(F.col("alike"), F.raise_error(F.concat(F.lit("AmbiguousMatch: several results for "), F.col("sig"))).cast("double")).otherwise(F.col("value")).alias("value"))
+        return self.finished(out, grid)
 
 
 def run(spark: SparkSession, source: SeriesSource, query: str, grid: Grid, lookback: int = LOOKBACK) -> Vector | Scalar | Text:

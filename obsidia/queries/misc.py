@@ -9,6 +9,7 @@ from obsidia import alerting, ingest, maintain
 from obsidia.analytics.change_point import change_points
 from obsidia.analytics.summary import summary
 from obsidia.engine import Engine
+from obsidia.ingest import normalise
 from obsidia.functions import labels as L
 from obsidia.queries.promql import _EVENTS, END, H, START
 from obsidia.sources import views
@@ -93,6 +94,57 @@ def ingest_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.explode_histogram(points).select("name", L.label(L.sig_of(F.col("labels")), "status").alias("status"), F.coalesce(F.col("labels")["le"], F.lit("")).alias("le"), F.round("value", 2).alias("value"))
 
 
+def ingest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decoded number points of both kinds, some stale, some of a wrong temporality."""
+    e, i = views.table(spark, sf_dir, "events"), F.col("event_id")
+    value = lambda s, n: F.struct(s.alias("s"), F.lit(None).cast("boolean").alias("b"), n.alias("i"), F.lit(None).cast("double").alias("d"), F.lit(False).alias("complex"))
+    attrs = F.create_map(F.lit("event.type"), value(F.col("event_type"), F.lit(None).cast("bigint")), F.lit("9k"), value(F.lit(None).cast("string"), i % 4))
+    resource = F.create_map(F.lit("service.namespace"), F.lit("shop"), F.lit("service.name"), F.lit("web"), F.lit("service.instance.id"), F.col("user_id").cast("string"))
+    kind = F.when(i % 2 == 0, "gauge").otherwise("sum")
+    rows = e.select(F.lit("http.latency").alias("name"), F.lit("ms").alias("unit"), kind.alias("kind"), F.lit(True).alias("monotonic"), (i % 3).cast("int").alias("temporality"), resource.alias("resource"), attrs.alias("attrs"), (views.micros("ts") * 1000).alias("ts_ns"), (i % 5 == 0).cast("int").alias("flags"), "value")
+    return normalise.points(rows, _NOW).select("name", L.sig_of(F.col("labels")).alias("labels"), "ts_ns", F.when(~F.col("stale"), F.col("value")).alias("value"), "stale", "rejected")
+
+
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' totals by status as summaries; one names a quantile twice."""
+    o = views.table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.sum("o_totalprice").alias("sum"), F.count("*").alias("count"))
+    second = F.when(F.col("o_orderstatus") == "P", 0.5).otherwise(0.99)
+    q = F.array(F.struct(F.lit(0.5).alias("quantile"), F.col("lo").cast("double").alias("value")), F.struct(second.alias("quantile"), F.col("hi").cast("double").alias("value")))
+    rows = o.select(F.lit("total").alias("name"), F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("labels"), F.lit(0).cast("long").alias("ts_ns"), q.alias("quantiles"), "sum", "count")
+    return normalise.summaries(rows).select("name", F.col("labels")["status"].alias("status"), F.coalesce(F.col("labels")["quantile"], F.lit("")).alias("quantile"), F.round("value", 2).alias("value"), "rejected")
+
+
+def ingest_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as exponential histograms; every seventh one counts less than its buckets hold."""
+    p, k, n = views.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size").cast("long")
+    rows = p.select(k.cast("string").alias("name"), F.create_map(F.lit("k"), k).alias("labels"), F.lit(0).cast("long").alias("ts_ns"), F.lit(2).alias("temporality"), F.lit(0).alias("scale"), F.lit(0.0).alias("zero_threshold"), F.lit(1).alias("zero_count"), (n + 4 - (k % 7 == 0).cast("long")).alias("count"), F.lit(1.5).alias("sum"),
+                    (k % 5 - 2).cast("int").alias("pos_offset"), F.array(n, F.lit(1).cast("long")).alias("pos"), F.lit(None).cast("int").alias("neg_offset"), F.array(F.lit(2).cast("long")).alias("neg"))
+    out = normalise.exponential_histograms(rows)
+    return out.select("name", F.explode("hist.pos").alias("i", "n"), "rejected", F.col("hist.count").alias("count"), F.col("hist.neg")[1].alias("neg1"))
+
+
+def ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decoded log records with missing times, odd severities and short ids."""
+    e, i, ts = views.table(spark, sf_dir, "events"), F.col("event_id"), views.micros("ts") * 1000
+    value = F.struct(F.col("event_type").alias("s"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("d"), F.lit(False).alias("complex"))
+    trace = F.when(i % 2 == 0, F.unhex(F.md5(i.cast("string")))).otherwise(F.unhex(F.lit("0102")))
+    rows = e.select(F.when(i % 3 == 0, 0).otherwise(ts).alias("time_ns"), F.when(i % 6 == 0, None).otherwise(ts).alias("observed_ns"), (i % 300).cast("int").alias("severity_number"), F.lit(None).cast("string").alias("severity_text"), F.col("props").alias("body"), trace.alias("trace_id"), F.lit(None).cast("binary").alias("span_id"), F.lit(0).alias("flags"),
+                    F.create_map(F.lit("kind"), F.lit("resource"), F.lit("host"), F.lit("h")).alias("resource"), F.create_map(F.lit("kind"), value).alias("attrs"))
+    out = normalise.logs(rows, _NOW)
+    return out.select("ts_ns", "observed_ts_ns", F.col("severity_num").cast("int").alias("severity_num"), "severity_text", "body", "trace_id", F.col("attrs")["kind"].alias("kind"), F.col("attrs")["host"].alias("host"), "rejected")
+
+
+def ingest_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as decoded spans with every kind, unknown statuses and, for some, an id that is too short."""
+    li, n = views.table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    trace, span = F.md5(F.col("l_orderkey").cast("string")), F.substring(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber")), 1, 16)
+    start = views.micros("l_shipdate") * 1000
+    rows = li.select(F.unhex(trace).alias("trace_id"), F.unhex(F.when(n == 7, "00").otherwise(span)).alias("span_id"), F.lit(None).cast("binary").alias("parent_span_id"), F.col("l_linestatus").alias("name"), start.alias("start_ns"), (start + n).alias("end_ns"), (n % 7).cast("int").alias("kind"), (n % 4).cast("int").alias("status_code"),
+                     F.lit(None).cast("string").alias("status_message"), F.lit("[]").alias("events"), F.create_map(F.lit("_kind"), F.lit("forged"), F.lit("host"), F.lit("r")).alias("resource"), F.create_map(F.lit("host"), F.col("l_returnflag")).alias("attrs"))
+    out = normalise.spans(rows, 900_000_000 * 10**9)
+    return out.select("trace_id", "span_id", "name", "start_ns", F.col("status_code").cast("int").alias("status_code"), F.col("attrs")["_kind"].alias("kind"), F.col("attrs")["_events_raw"].alias("events"), F.col("attrs")["host"].alias("host"), "rejected")
+
+
 def exemplar_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.exemplars(spark, sf_dir)
 
@@ -124,13 +176,26 @@ SELECT p_partkey, b || CASE WHEN u = '' THEN '' ELSE '_' || u END || CASE WHEN c
     "ingest_admission": f"{_S} SELECT CASE WHEN ts_ns > {_NOW} + 600000000000 THEN 'FutureSkew' WHEN ts_ns < {_NOW} - 7200000000000 THEN 'TooOld' ELSE 'admitted' END AS outcome, count(*) AS n FROM s GROUP BY 1",
     "ingest_histogram": """WITH h AS (SELECT o_orderstatus AS status, count(*) FILTER (o_totalprice <= 100000) AS a, count(*) FILTER (o_totalprice <= 300000) AS b, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1)
 SELECT name, status, le, round(CAST(value AS DOUBLE), 2) AS value FROM (SELECT 'total_bucket' AS name, status, '100000' AS le, a AS value FROM h UNION ALL SELECT 'total_bucket', status, '300000', b FROM h UNION ALL SELECT 'total_bucket', status, '+Inf', n FROM h UNION ALL SELECT 'total_count', status, '', n FROM h UNION ALL SELECT 'total_sum', status, '', s FROM h)""",
+    "ingest_points": f"""WITH e AS (SELECT *, epoch_us(ts) * 1000 AS ts_ns FROM events) SELECT 'http_latency_milliseconds' || CASE WHEN event_id % 2 = 0 THEN '' ELSE '_total' END AS name, '{{"_k":"' || event_id % 4 || '","event_type":"' || event_type || '","instance":"' || user_id || '","job":"shop/web"}}' AS labels, ts_ns,
+CASE WHEN event_id % 5 <> 0 THEN value END AS value, event_id % 5 = 0 AS stale, CASE WHEN event_id % 2 = 1 AND event_id % 3 <> 2 THEN 'NonCumulativeTemporality' WHEN ts_ns > {_NOW} + 600000000000 THEN 'FutureSkew' WHEN ts_ns < {_NOW} - 7200000000000 THEN 'TooOld' END AS rejected FROM e""",
+    "ingest_summary": """WITH h AS (SELECT o_orderstatus AS status, min(o_totalprice) AS lo, max(o_totalprice) AS hi, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1)
+SELECT name, status, quantile, round(CAST(value AS DOUBLE), 2) AS value, CAST(NULL AS VARCHAR) AS rejected FROM (SELECT 'total' AS name, status, '0.5' AS quantile, lo AS value FROM h UNION ALL SELECT 'total', status, '0.99', hi FROM h UNION ALL SELECT 'total_sum', status, '', s FROM h UNION ALL SELECT 'total_count', status, '', n FROM h) WHERE status <> 'P'
+UNION ALL SELECT 'total', status, '', NULL, 'DuplicateQuantile' FROM h WHERE status = 'P'""",
+    "ingest_exponential": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS name, p_partkey % 5 - 1 AS i0, p_size AS n, p_partkey % 7 = 0 AS bad FROM part)
+SELECT name, CAST(i AS INTEGER) AS i, CAST(c AS DOUBLE) AS n, CASE WHEN bad THEN 'NativeHistogramCountMismatch' END AS rejected, CAST(n + 4 - CAST(bad AS INTEGER) AS DOUBLE) AS count, CAST(2 AS DOUBLE) AS neg1 FROM (SELECT *, i0 AS i, n AS c FROM p UNION ALL SELECT *, i0 + 1, 1 FROM p)""",
+    "ingest_logs": f"""WITH e AS (SELECT *, epoch_us(ts) * 1000 AS t FROM events), r AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN {_NOW} ELSE t END AS ts_ns FROM e)
+SELECT ts_ns, CASE WHEN event_id % 6 = 0 THEN 0 ELSE t END AS observed_ts_ns, CAST(CASE WHEN event_id % 300 <= 255 THEN event_id % 300 ELSE 0 END AS INTEGER) AS severity_num, '' AS severity_text, props AS body, CASE WHEN event_id % 2 = 0 THEN md5(CAST(event_id AS VARCHAR)) END AS trace_id, event_type AS kind, 'h' AS host,
+CASE WHEN ts_ns > {_NOW} + 600000000000 THEN 'FutureSkew' WHEN ts_ns < {_NOW} - 7200000000000 THEN 'TooOld' END AS rejected FROM r""",
+    "ingest_spans": """SELECT md5(CAST(l_orderkey AS VARCHAR)) AS trace_id, CASE WHEN l_linenumber <> 7 THEN substr(md5(l_orderkey || '-' || l_linenumber), 1, 16) END AS span_id, l_linestatus AS name, epoch_us(l_shipdate) * 1000 AS start_ns, CAST(CASE WHEN l_linenumber % 4 IN (1, 2) THEN l_linenumber % 4 ELSE 0 END AS INTEGER) AS status_code,
+CASE l_linenumber % 7 WHEN 1 THEN 'internal' WHEN 2 THEN 'server' WHEN 3 THEN 'client' WHEN 4 THEN 'producer' WHEN 5 THEN 'consumer' END AS kind, '[]' AS events, l_returnflag AS host,
+CASE WHEN l_linenumber = 7 THEN 'InvalidId' WHEN epoch_us(l_shipdate) * 1000 > 900000600000000000 THEN 'FutureSkew' WHEN epoch_us(l_shipdate) * 1000 + l_linenumber < 899992800000000000 THEN 'TooOld' END AS rejected FROM lineitem""",
     "exemplar_cap": f"WITH {_EVENTS} SELECT event_type, shard, max(t) AS ts_ns, arg_max(value, (t, event_id)) AS value, md5(CAST(arg_max(event_id, (t, event_id)) AS VARCHAR)) AS trace_id FROM e WHERE event_type = 'error' GROUP BY event_type, shard, t // 10000000000",
 }
 
 
 def queries() -> dict:
     """All queries by name."""
-    made = (dedup_samples, erase_samples, retention_hours, retention_rows, compact_plan, analytics_summary, analytics_spikes, analytics_change_point, alert_active, alert_history, alert_latest, ingest_family, ingest_admission, ingest_histogram, exemplar_cap)
+    made = (dedup_samples, erase_samples, retention_hours, retention_rows, compact_plan, analytics_summary, analytics_spikes, analytics_change_point, alert_active, alert_history, alert_latest, ingest_family, ingest_admission, ingest_histogram, ingest_points, ingest_summary, ingest_exponential, ingest_logs, ingest_spans, exemplar_cap)
     return {f.__name__: f for f in made}
 
 

@@ -57,7 +57,23 @@ c AS (SELECT *, {clamp} AS e0, span / (n - 1) AS mean FROM b)
 SELECT {_JSON} AS labels, g AS ts_ns, round(inc * (span + CASE WHEN e0 < mean * 1.1 THEN e0 ELSE mean / 2 END + CASE WHEN d1 < mean * 1.1 THEN d1 ELSE mean / 2 END) / span{f" / {hours * 3600}.0" if per_second else ""}, 6) AS value FROM c"""
 
 
+def _hist(value: str, kind: str) -> str:
+    """Hourly native histograms of the events' values: base-2 buckets, the latest in the lookback."""
+    tail = {
+        "total": f"SELECT {_KIND} AS labels, g AS ts_ns, round(CAST({value} AS DOUBLE), 6) AS value FROM sel",
+        "merged": f"SELECT '{{}}' AS labels, g AS ts_ns, round(CAST({value} AS DOUBLE), 6) AS value FROM sel GROUP BY g",
+        "fraction": f"SELECT {_KIND} AS labels, g AS ts_ns, round(CAST({value} AS DOUBLE), 6) AS value FROM c GROUP BY g, event_type",
+        "quantile": f"SELECT {_KIND} AS labels, g AS ts_ns, round(CAST({value} AS DOUBLE), 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY g, event_type ORDER BY i) AS r FROM c WHERE below + c >= 0.3 * n) WHERE r = 1",
+    }[kind]
+    return f"""WITH {_EVENTS}, {_grid(False)}, b AS (SELECT event_type, (t // {H} + 1) * {H} AS ht, CAST(ceil(log2(value)) AS INTEGER) AS i, count(*) AS c, sum(value) AS bs FROM e WHERE value > 0 GROUP BY ALL),
+h AS (SELECT event_type, ht, sum(c) AS n, sum(bs) AS s FROM b GROUP BY ALL),
+last AS (SELECT g.g, event_type, max(ht) AS ht FROM g JOIN h ON ht > g.g - {6 * H} AND ht <= g.g GROUP BY ALL),
+sel AS (SELECT * FROM last JOIN h USING (event_type, ht)),
+c AS (SELECT sel.g, event_type, sel.n, i, c, sum(c) OVER (PARTITION BY sel.g, event_type ORDER BY i) - c AS below FROM sel JOIN b USING (event_type, ht)) {tail}"""
+
+
 _N = _NAMED % "event_value"
+_KIND = """'{"event_type":"' || event_type || '"}'"""
 _TYPE = """'{"event_type":"' || event_type || '"}'"""
 _SHARD = """'{"shard":"' || shard || '"}'"""
 
@@ -74,6 +90,16 @@ QUERIES: dict[str, tuple] = {
     "promql_offset_negative": ("event_value offset -3h", _out(_sel(offset=-3 * H), _N, "v")),
     "promql_at": (f"event_value @ {AT // 10**9}", _out(_sel(at=AT), _N, "v")),
     "promql_at_end": ("event_value @ end()", _out(_sel(at=END), _N, "v")),
+    "promql_at_start": ("event_value @ start()", _out(_sel(at=START), _N, "v")),
+    "promql_stale": ("flaky_value", f"""WITH {_EVENTS}, {_grid(False)}, s AS (SELECT event_type, shard, t, value AS v, event_id % 4 = 0 AS stale FROM e),
+sel AS (SELECT g.g, event_type, shard, arg_max(v, t) AS v, arg_max(stale, t) AS stale FROM g JOIN s ON t > g.g - {6 * H} AND t <= g.g GROUP BY ALL)
+SELECT {_NAMED % "flaky_value"} AS labels, g AS ts_ns, round(v, 6) AS value FROM sel WHERE NOT stale"""),
+    "promql_native_count": ("histogram_count(value_native)", _hist("n", "total")),
+    "promql_native_sum": ("histogram_sum(value_native)", _hist("s", "total")),
+    "promql_native_avg": ("histogram_avg(value_native)", _hist("s / n", "total")),
+    "promql_native_merged": ("histogram_count(sum(value_native))", _hist("sum(n)", "merged")),
+    "promql_native_quantile": ("histogram_quantile(0.3, value_native)", _hist("pow(2, i - 1 + (0.3 * n - below) / c)", "quantile")),
+    "promql_native_fraction": ("histogram_fraction(0, 64, value_native)", _hist("sum(CASE WHEN i <= 6 THEN c ELSE 0 END) / any_value(n)", "fraction")),
     "promql_instant": ("event_value", _out(_sel(instant=True), _N, "v"), "instant"),
     "promql_timestamp": ("timestamp(event_value)", _out(_sel(), _JSON, "ot / 1e9")),
     "promql_rate": ("rate(events_value_total[12h])", _rate("events_value_total", 12, True, True)),
@@ -115,7 +141,7 @@ SELECT {_JSON} AS labels, g AS ts_ns, round(v / m, 6) AS value FROM sel JOIN m U
     "promql_vv_ignoring": ('event_value{shard="1"} * ignoring (shard) event_value{shard="2"}', _out(_sel(), """'{"event_type":"' || a.event_type || '"}'""", "a.v * b.v", "FROM sel a JOIN sel b USING (g, event_type) WHERE a.shard = '1' AND b.shard = '2'")),
     "promql_vv_filter": ('event_value{shard="1"} > ignoring (shard) event_value{shard="2"}', _out(_sel(), """'{"__name__":"event_value","event_type":"' || a.event_type || '"}'""", "a.v", "FROM sel a JOIN sel b USING (g, event_type) WHERE a.shard = '1' AND b.shard = '2' AND a.v > b.v")),
     "promql_group_left": ("event_value / on (event_type) group_left sum by (event_type) (event_value)", _out(_sel(), _JSON, "v / total", "FROM (SELECT *, sum(v) OVER (PARTITION BY g, event_type) AS total FROM sel)")),
-    "promql_group_left_label": ('event_value{shard!="3"} * on (event_type) group_left (shard) event_value{shard="3"}', _out(_sel(), """'{"event_type":"' || a.event_type || '","shard":"3"}'""", "a.v * b.v", "FROM sel a JOIN sel b USING (g, event_type) WHERE b.shard = '3' AND a.shard = '0'").replace("a.shard = '0'", "a.shard <> '3'")),
+    "promql_group_left_label": ('event_value{shard="1"} * on (event_type) group_left (shard) event_value{shard="3"}', _out(_sel(), """'{"event_type":"' || a.event_type || '","shard":"3"}'""", "a.v * b.v", "FROM sel a JOIN sel b USING (g, event_type) WHERE b.shard = '3' AND a.shard = '0'").replace("a.shard = '0'", "a.shard = '1'")),
     "promql_group_right": ("sum by (event_type) (event_value) - on (event_type) group_right event_value", _out(_sel(), _JSON, "total - v", "FROM (SELECT *, sum(v) OVER (PARTITION BY g, event_type) AS total FROM sel)")),
     "promql_and": ("event_value and event_value > 50", _out(_sel(), _N, "v", "FROM sel WHERE v > 50")),
     "promql_unless": ("event_value unless event_value > 50", _out(_sel(), _N, "v", "FROM sel WHERE v <= 50")),

@@ -12,6 +12,8 @@ _CTES = {
     "samples": "samples AS (SELECT epoch_us(ts) * 1000 AS ts_ns, ts, value, event_type, CAST(user_id % 4 AS VARCHAR) AS shard, md5('{\"__name__\":\"event_value\",\"event_type\":\"' || event_type || '\",\"shard\":\"' || user_id % 4 || '\"}') AS series_id FROM events)",
     "logs": "logs AS (SELECT epoch_us(ts) * 1000 AS ts_ns, ts, ts AS observed_ts, CASE WHEN event_type = 'error' THEN 17 ELSE 9 END AS severity_num, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS severity_text, event_type || ' ' || props AS body, md5(CAST(event_id AS VARCHAR)) AS trace_id, CAST(NULL AS VARCHAR) AS span_id, CAST(0 AS BIGINT) AS flags, CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
     "spans": "spans AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS trace_id, substr(md5(l_orderkey || '-' || l_linenumber), 1, 16) AS span_id, CASE WHEN l_linenumber > 1 THEN substr(md5(l_orderkey || '-1'), 1, 16) END AS parent_span_id, l_returnflag || l_linestatus AS name, least(o_orderdate, l_shipdate) AS start_ts, greatest(o_orderdate, l_shipdate) AS end_ts, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS status_code, CASE WHEN l_returnflag = 'R' THEN 'returned' END AS status_message, o_orderpriority AS service_name, CAST(l_suppkey AS VARCHAR) AS supplier, (epoch_us(greatest(o_orderdate, l_shipdate)) - epoch_us(least(o_orderdate, l_shipdate))) * 1000 AS duration_ns FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "alerts": "alerts AS (SELECT epoch_us(ts) * 1000 AS ts_ns, md5(CAST(user_id AS VARCHAR)) AS alert_id, 'errors-' || user_id % 4 AS rule_id, CASE WHEN event_id % 2 = 0 THEN 'firing' ELSE 'resolved' END AS state, CAST(user_id % 3 AS BIGINT) AS generation, CAST(user_id AS VARCHAR) AS usr FROM events WHERE event_type = 'error')",
+    "audit": "audit AS (SELECT epoch_us(o_orderdate) * 1000 AS ts_ns, 'INFO' AS severity_text, CASE WHEN o_orderstatus = 'O' THEN 'put' ELSE 'lift' END AS op, 'customer/' || o_custkey AS scope, o_orderpriority AS reason FROM orders)",
     "logs_text": "logs_text AS (SELECT doc_id, text AS body, lang, source FROM documents)",
 }
 
@@ -103,6 +105,11 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "logs_declared_sum": "SELECT attrs['event_type'] AS event_type, cast(sum(k) as bigint) AS s, max(k) AS m FROM logs GROUP BY 1",
     "logs_severity_rollup": ("SELECT severity_text, cast(to_date(ts) as string) AS day, count(*) AS n FROM logs WHERE severity_num >= 9 GROUP BY 1, 2", "SELECT severity_text, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM logs WHERE severity_num >= 9 GROUP BY 1, 2"),
     "logs_ts_range": "SELECT ts_ns, severity_text FROM logs WHERE ts_ns >= 1704672000000000000 AND ts_ns < 1704758400000000000",
+    "alerts_by_rule": "SELECT rule_id, state, count(*) AS n, max(generation) AS g, max(ts_ns) AS newest FROM alerts GROUP BY rule_id, state",
+    "alerts_scan": ("SELECT ts_ns, alert_id, state, attrs['annotation.summary'] AS summary FROM alerts WHERE rule_id = 'errors-1' AND ts_ns >= 1704672000000000000", "SELECT ts_ns, alert_id, state, 'errors of ' || usr AS summary FROM alerts WHERE rule_id = 'errors-1' AND ts_ns >= 1704672000000000000"),
+    "alerts_latest_state": "SELECT alert_id, state, ts_ns FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY ts_ns DESC, state) AS r FROM alerts) t WHERE r = 1",
+    "audit_scan": ("SELECT ts_ns, severity_text, body, attrs['hold.scope'] AS scope FROM audit WHERE attrs['kind'] = 'legal_hold' AND attrs['hold.op'] = 'put'", "SELECT ts_ns, severity_text, 'legal hold ' || op AS body, scope FROM audit WHERE op = 'put'"),
+    "audit_open_holds": ("SELECT attrs['hold.scope'] AS scope, count(*) FILTER (WHERE attrs['hold.op'] = 'put') AS put, count(*) AS n FROM audit GROUP BY 1", "SELECT scope, count(*) FILTER (WHERE op = 'put') AS put, count(*) AS n FROM audit GROUP BY 1"),
     "spans_trace_lookup": "SELECT span_id, parent_span_id, name, duration_ns FROM spans WHERE trace_id = md5('5979')",
     "spans_window_overlap": ("SELECT count(*) AS n FROM spans WHERE start_ts <= timestamp_ntz'1996-06-01 00:00:00' AND end_ts >= timestamp_ntz'1996-05-01 00:00:00'", "SELECT count(*) AS n FROM spans WHERE start_ts <= TIMESTAMP '1996-06-01 00:00:00' AND end_ts >= TIMESTAMP '1996-05-01 00:00:00'"),
     "spans_duration_range": "SELECT name, count(*) AS n, max(duration_ns) AS longest FROM spans WHERE duration_ns > 86400000000000 GROUP BY name",
@@ -133,6 +140,6 @@ def oracle_sql() -> dict[str, str]:
     found = {}
     for name, q in QUERIES.items():
         text = _for_oracle(q) if isinstance(q, str) else q[1]
-        table = next(t for t in ("logs_text", "samples", "logs", "spans") if re.search(rf"\b{t}\b", text))
+        table = next(t for t in ("logs_text", "samples", "logs", "spans", "alerts", "audit") if re.search(rf"\b{t}\b", text))
         found[name] = f"WITH {_CTES[table]}, {text[5:]}" if text.startswith("WITH ") else f"WITH {_CTES[table]} {text}"
     return found

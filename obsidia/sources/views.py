@@ -52,9 +52,27 @@ def bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(each.select("event_type", "ts_ns", "ts", "b.le", "b.value"), event_type=F.col("event_type"), le=F.col("le"))
 
 
+def flaky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``flaky_value``: each event's value, every fourth one a stale marker."""
+    e = _labelled(_events(spark, sf_dir).withColumn("value", F.struct("event_id", "value")), event_type=F.col("event_type"), shard=F.col("shard"))
+    stale = F.col("value.event_id") % 4 == 0
+    return e.select("labels", "ts_ns", F.when(stale, F.lit(float("nan"))).otherwise(F.col("value.value")).alias("value"), stale.alias("stale"), "ts")
+
+
+def native_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``value_native``: at every full hour a native histogram, of base 2, of the positive values in it by event type."""
+    hour = (F.call_function("div", F.col("ts_ns"), F.lit(3600 * 10**9)) + 1) * (3600 * 10**9)
+    e = _events(spark, sf_dir).where("value > 0").select("event_type", hour.alias("ts_ns"), F.ceil(F.log2("value")).cast("int").alias("i"), "value")
+    each = e.groupBy("event_type", "ts_ns", "i").agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("s"))
+    one = each.groupBy("event_type", "ts_ns").agg(F.sum("n").alias("count"), F.sum("s").alias("sum"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("i", "n")))).alias("pos"))
+    none = F.lit(0.0)
+    hist = F.struct(F.lit(0).alias("scale"), none.alias("zero_threshold"), none.alias("zero_count"), "count", "sum", "pos", F.expr("map()").cast("map<int,double>").alias("neg"), F.array().cast("array<double>").alias("custom"), F.lit("gauge").alias("hint"))
+    return one.select(F.create_map(F.lit("event_type"), F.col("event_type")).alias("labels"), "ts_ns", hist.alias("hist"), F.lit(False).alias("stale"))
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> SeriesSource:
-    """PromQL source over the three metrics."""
-    return SeriesSource({"event_value": lambda: gauge(spark, sf_dir), "events_value_total": lambda: counter(spark, sf_dir), "value_bucket": lambda: bucket(spark, sf_dir)})
+    """PromQL source over the metrics."""
+    return SeriesSource({"flaky_value": lambda: flaky(spark, sf_dir), "event_value": lambda: gauge(spark, sf_dir), "events_value_total": lambda: counter(spark, sf_dir), "value_bucket": lambda: bucket(spark, sf_dir)}, {"value_native": lambda: native_hours(spark, sf_dir)})
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +127,20 @@ def metadata(spark: SparkSession) -> DataFrame:
     """Type, help and unit of each metric."""
     rows = [("event_value", "gauge", "Value of an event", ""), ("events_value_total", "counter", "Sum of values", ""), ("value_bucket", "histogram", "Values by bound", "")]
     return spark.createDataFrame(rows, "metric string, type string, help string, unit string")
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL table ``alerts``: a record per error event of a rule per user, which fires and resolves in turn."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    user = F.col("user_id").cast("string")
+    state = F.when(F.col("event_id") % 2 == 0, "firing").otherwise("resolved")
+    attrs = F.create_map(F.lit("label.user"), user, F.lit("annotation.summary"), F.concat(F.lit("errors of "), user))
+    return e.select((micros("ts") * 1000).alias("ts_ns"), "ts", F.md5(user).alias("alert_id"), F.concat(F.lit("errors-"), (F.col("user_id") % 4).cast("string")).alias("rule_id"), state.alias("state"), (F.col("user_id") % 3).cast("bigint").alias("generation"), attrs.alias("attrs"))
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL table ``audit``: legal holds put on and lifted, one record per order."""
+    o = table(spark, sf_dir, "orders")
+    op = F.when(F.col("o_orderstatus") == "O", "put").otherwise("lift")
+    attrs = F.create_map(F.lit("kind"), F.lit("legal_hold"), F.lit("hold.op"), op, F.lit("hold.scope"), F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")), F.lit("hold.reason"), F.col("o_orderpriority"))
+    return o.select((micros("o_orderdate") * 1000).alias("ts_ns"), F.lit("INFO").alias("severity_text"), F.concat(F.lit("legal hold "), op).alias("body"), attrs.alias("attrs"))
