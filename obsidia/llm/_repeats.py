@@ -129,7 +129,7 @@ def repeated_windows(spread: DataFrame, shared: DataFrame, unit: Unit, hot: int)
     """
     classes = shared.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("one"))
     width = classes.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    judged = written(classes.join(width, "anchor"))
+    judged = written(classes.join(width, "anchor"), compression="zstd")
     mixed = judged.where("different > 1").select("one.doc_id", "one.text_key", "one.start", "one.windows", *CLASS, "different")
 
     def pieces(part: DataFrame) -> DataFrame:

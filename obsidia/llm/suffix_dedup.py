@@ -146,7 +146,7 @@ def remove_repeats(df: DataFrame, length: int = 400, mark: int | None = None, id
     gram, width = max(1, min(128, round(min(lengths) * _GRAM_SHARE))), _sketch.power_of_two(width)
     docs = keyed(df, id_col, text_col)
     sketch = _sketch.estimate(docs, _anchors_of(min(lengths), gram), width, depth)
-    shared = written(docs.mapInArrow(_find_runs(min(lengths), length, gram, width, sketch), RUNS))
+    shared = written(docs.mapInArrow(_find_runs(min(lengths), length, gram, width, sketch), RUNS), compression="zstd")
     whole = docs if not carry else keyed(df, id_col, text_col, carried=F.struct(*carry))
     spread = whole.repartition("doc_id")
     per_doc = repeated_windows(spread, shared, _unit(lengths), hot)
@@ -158,6 +158,6 @@ def remove_repeats(df: DataFrame, length: int = 400, mark: int | None = None, id
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query over all of ``documents``: strings of 400 bytes go. A further column, ``n_marked``, counts the
-    bytes of passages that repeat over 288 bytes or more, about 50 words, which the contract's length leaves in place."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), mark=288)
+    bytes of passages that repeat over 300 bytes or more, about 50 words, which the contract's length leaves in place."""
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), mark=300)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_marked")

@@ -74,7 +74,7 @@ def test_op1(spark, sf):
 def test_op4(spark, sf):
     raw = [t.encode() for _, t in TEXTS]
     want = []
-    for (d, _), r, gone, marked in zip(TEXTS, raw, repeats(raw, 400), repeats(raw, 288)):
+    for (d, _), r, gone, marked in zip(TEXTS, raw, repeats(raw, 400), repeats(raw, 300)):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         want.append((d, len(r), sum(gone), spans, sha(bytes(x for x, g in zip(r, gone) if not g)), sum(marked)))
     assert ran(spark, sf, "op4_suffix_dedup", "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_marked bigint") == sorted(map(str, want))
