@@ -91,7 +91,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "sql_more_numbers": ("SELECT ts_ns, pow(value, 2) AS p, signum(value - 50) AS s, isnan(value) AS n, nanvl(value, 0) AS v FROM samples", "SELECT ts_ns, value ** 2 AS p, CAST(sign(value - 50) AS DOUBLE) AS s, isnan(value) AS n, value AS v FROM samples"),
     "sql_more_strings": ("SELECT body, character_length(body) AS n, ltrim(concat('  ', severity_text, ' ')) AS l, rtrim(concat(' ', severity_text, '  ')) AS r, substring(body, 2, 4) AS s, substr_index(body, ' ', 1) AS i FROM logs", "SELECT body, CAST(length(body) AS INTEGER) AS n, severity_text || ' ' AS l, ' ' || severity_text AS r, substring(body, 2, 4) AS s, split_part(body, ' ', 1) AS i FROM logs"),
     "sql_more_times": ("SELECT ts_ns, cast(datepart('hour', ts) as bigint) AS h, cast(datetrunc('day', ts) as date) AS d, make_date(2024, 2, cast(k % 28 + 1 as int)) AS m, cast(make_time(cast(k % 24 as int), 5, 6) as string) AS t, cast(to_time('04:05:06') as string) AS u FROM logs", "SELECT ts_ns, date_part('hour', ts) AS h, CAST(date_trunc('day', ts) AS DATE) AS d, make_date(2024, 2, CAST(k % 28 + 1 AS INTEGER)) AS m, lpad(CAST(k % 24 AS VARCHAR), 2, '0') || ':05:06' AS t, '04:05:06' AS u FROM logs"),
-    "sql_to_timestamp": ("SELECT ts_ns, cast(to_timestamp(cast(ts as string)) as string) AS a, cast(to_timestamp_micros(ts_ns div 1000) as string) AS b, cast(to_timestamp_millis(ts_ns div 1000000000 * 1000) as string) AS c, cast(to_timestamp_nanos(ts_ns div 1000000000 * 1000000000) as string) AS d, cast(to_timestamp_seconds(ts_ns div 1000000000) as string) AS e FROM logs WHERE ts_ns % 1000000000 = 0", "SELECT ts_ns, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts, '%Y-%m-%d %H:%M:%S') AS b, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c, strftime(ts, '%Y-%m-%d %H:%M:%S') AS d, strftime(ts, '%Y-%m-%d %H:%M:%S') AS e FROM logs WHERE ts_ns % 1000000000 = 0"),
+    "sql_to_timestamp": ("SELECT ts_ns, date_format(to_timestamp(cast(ts as string)), '%Y-%m-%d %H:%M:%S.%f') AS a, date_format(to_timestamp_micros(ts_ns div 1000), '%Y-%m-%d %H:%M:%S.%f') AS b, date_format(to_timestamp_millis(ts_ns div 1000000), '%Y-%m-%d %H:%M:%S') AS c, date_format(to_timestamp_nanos(ts_ns), '%Y-%m-%d %H:%M:%S.%f') AS d, date_format(to_timestamp_seconds(ts_ns div 1000000000), '%Y-%m-%d %H:%M:%S') AS e FROM logs", "SELECT ts_ns, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS a, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS b, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS d, strftime(ts, '%Y-%m-%d %H:%M:%S') AS e FROM logs"),
     "sql_cube": "SELECT label(labels, 'event_type') AS event_type, label(labels, 'shard') AS shard, count(*) AS n FROM samples GROUP BY CUBE (1, 2)",
     "sql_grouping_sets": "SELECT label(labels, 'event_type') AS event_type, label(labels, 'shard') AS shard, count(*) AS n FROM samples GROUP BY GROUPING SETS ((label(labels, 'event_type')), (label(labels, 'shard')), ())",
     "sql_intersect_all": "SELECT label(labels, 'event_type') AS x FROM samples WHERE value > 100 INTERSECT ALL SELECT label(labels, 'event_type') AS x FROM samples WHERE value < 50",
