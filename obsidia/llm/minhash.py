@@ -8,8 +8,10 @@ A document's set is its distinct word shingles, each a 64-bit hash. Its sketch i
    from the rarest to the commonest it is enough to list each class under all but its ``needed - 1`` commonest ones:
    values that many documents share through a common passage mostly generate nothing.
 3. A list of more than ``block`` classes is replaced by lists over pairs of values. What is still larger is cut into
-   blocks that a few members tie together; only where it then still holds several components is it compared block
-   against block. No task holds more than about ``2 * block`` members and no list is cut short.
+   blocks that a few members tie together; where it then still holds several components, its members are listed again
+   by the whole sketch: a passage that all of them share is common there and lists nothing, so that only sets alike in
+   most of their values meet. Such a list, if still larger, is compared block against block. No task holds more than
+   about ``2 * block`` members and no list is cut short.
 4. Within a list, the sketch of the union (the ``k`` least of both) estimates similarity. Pairs below the threshold by
    more than five standard errors are dropped; sets of up to ``k`` shingles are estimated exactly.
 5. Survivors are verified on the full sets, in two rounds: first those that span each list's estimated clusters; then,
@@ -83,6 +85,29 @@ def _sketches(size: int, probes: int):
     return run
 
 
+def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sketch's values."""
+    for batch in batches:
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, _K)
+        values = [np.unique(x[x != _NONE]).astype(np.int64) for x in sketch]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array(values, pa.list_(pa.int64()))], names=["id", "size", "least"])
+
+
+def _rarest(sets: DataFrame, probes: int, share: float) -> DataFrame:
+    """``id, v, more`` of ``id, size, least``, the set's ``probes`` least values: those that it is listed under, as
+    ``n, value`` from the rarest on, and these with the one after them. Values of one set alone list nothing."""
+    least_common = needed(probes, share)
+    # a set with fewer values has less in common, and its partner's values may lie beyond the partner's least ones
+    short = F.ceil(F.col("size") * share - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("size") / share + 1e-9) - probes)
+    common = F.when(F.col("size") >= probes, least_common).otherwise(F.greatest(F.lit(1), F.least(F.lit(least_common), short)))
+    probed = sets.select("id", (F.size("least") - common + 1).cast("int").alias("listed"), F.size("least").alias("values"), F.explode("least").alias("value"))
+    lists = probed.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    # values of one class alone are its rarest; of the others, as many as the rest of the prefix holds
+    ranked = probed.join(lists, "value").groupBy("id").agg(F.first("listed").alias("listed"), F.first("values").alias("values"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
+    room = F.greatest(F.col("listed") - (F.col("values") - F.size("v")), F.lit(0))
+    return ranked.where(room > 0).select("id", F.slice("v", F.lit(1), room).alias("v"), F.slice("v", F.lit(1), room + 1).alias("more"))
+
+
 def _estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Similarity of pairs by the least values of their unions, and how many values each estimate rests on."""
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
@@ -141,7 +166,8 @@ def _compare(members: list[tuple], similarity: float, spanning: bool) -> list[tu
 def _similar(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs the union's sketch keeps, and its estimates."""
     estimate, used = _estimates(sketch[a], sketch[b])
-    return estimate >= _least_estimate(similarity, used), estimate
+    # a union of fewer values is there as a whole; values that agree in 32 bits make an estimate larger only
+    return estimate >= np.where(used < _K, similarity - 1.5 / np.maximum(used, 1), _least_estimate(similarity, used)), estimate
 
 
 def _spanning(sketch: np.ndarray, score: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -245,16 +271,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
         live.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "least", "sketch")).alias("x"))
         .select("d1", "d2", F.col("x.doc_id").alias("id"), F.struct("x.doc_id", "x.text_key").alias("one"), F.col("x.n_shingles").alias("size"), "x.least", "x.sketch")
     )
-    share, least_common = percent / 100, needed(probes, percent / 100)
-    # a set with fewer values has less in common, and its partner's values may lie beyond the partner's least ones
-    short = F.ceil(F.col("size") * share - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("size") / share + 1e-9) - probes)
-    common = F.when(F.col("size") >= probes, least_common).otherwise(F.greatest(F.lit(1), F.least(F.lit(least_common), short)))
-    probed = classes.select("id", (F.size("least") - common + 1).cast("int").alias("listed"), F.size("least").alias("values"), F.explode("least").alias("value"))
-    lists = probed.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    # values of one class alone are its rarest; of the others, as many as the rest of the prefix holds
-    ranked = probed.join(lists, "value").groupBy("id").agg(F.first("listed").alias("listed"), F.first("values").alias("values"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
-    room = F.greatest(F.col("listed") - (F.col("values") - F.size("v")), F.lit(0))
-    prefix = written(ranked.where(room > 0).select("id", F.slice("v", F.lit(1), room).alias("v"), F.slice("v", F.lit(1), room + 1).alias("more")))
+    prefix = written(_rarest(classes, probes, percent / 100))
     shared = prefix.select("id", F.explode("v").alias("x"), "more").select("id", "x.value", "more")
     # lists hold prefixes only, so they are shorter than the values are frequent
     sized = shared.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
@@ -266,6 +283,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     members = written(small.unionByName(fits))
     over = counted.where(F.col("n") > block).select("list", "id", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.col("n"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    relisted = []
 
     def part_of(lists: DataFrame, parts: DataFrame) -> DataFrame:
         """Those of the lists that hold several components, and each member's."""
@@ -281,10 +299,16 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
             large = over.select("list", "id", F.explode(where).alias("at")).select(F.xxhash64("list", "at").alias("list"), "id", F.lit(-1).alias("side"))
             lists = members.unionByName(large).withColumn("part", F.col("id"))
         else:
+            # members of lists that no pair of values makes small: by the rarest of all values that their sketches hold
+            hot = classes.select("id", "size", "sketch").join(part_of(over, parts).select("id").distinct(), "id")
+            again = _rarest(hot.mapInArrow(_retained, "id long, size long, least array<long>"), _K, percent / 100).select("id", F.explode("v").alias("x")).select(F.xxhash64("x.value", F.lit(3)).alias("list"), "id")
+            relisted.append(written(again.join(again.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list")))
+            fit = relisted[0].where(F.col("n") <= block).select("list", "id", F.lit(-1).alias("side"))
+            rest = relisted[0].where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
             # every block meets itself and each other one; side tells the two apart
-            grid = part_of(over, parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            grid = part_of(rest, parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             large = grid.select(F.xxhash64("list", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"), "id", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"), "part")
-            lists = part_of(members, parts).unionByName(large)
+            lists = part_of(members.unionByName(fit), parts).unionByName(large)
         rows = lists.join(classes.select("id", "size", "sketch"), "id").select("list", "id", "size", "part", "side", "sketch")
         return rows.repartition("list").sortWithinPartitions("list", "size", "id").mapInArrow(_candidates(percent / 100, parts is None), "a long, b long").distinct()
 
@@ -294,7 +318,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     parts = components(first.unionByName(second))
     # the caller may keep the result unread for long: leave it the narrow columns only
     ids, narrow = written(classes.select("d1", "d2", "id")), written(rows.select("doc_id", "text_key", "n_shingles", "d1", "d2"))
-    for table in (rows, classes, prefix, counted, members, first, second):
+    for table in (rows, classes, prefix, counted, members, *relisted, first, second):
         discard(table)
     per_class = ids.join(parts, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     found = narrow.join(per_class, ["d1", "d2"], "left")

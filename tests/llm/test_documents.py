@@ -142,6 +142,35 @@ def test_needed():
     assert minhash.needed(20, 0.8) >= 5 and minhash.needed(1, 0.8) == 1
 
 
+def test_minhash_passage_of_many_components(spark, monkeypatch):
+    """A passage that many documents share lists few members in the second round, and the links among them are found."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passage = prose(60)
+    texts = [f"{passage} {prose(60)}" for _ in range(160)]
+    texts += [t + " " + prose(k) for k, t in enumerate(texts[:20], 5)]
+    own, rows, real = [set(zip(*(t.split()[k:] for k in range(4)))) for t in texts], [], minhash._candidates
+
+    def counted(similarity, spanning):
+        run, n = real(similarity, spanning), spark.sparkContext.accumulator(0)
+        rows.append(n)
+
+        def tap(batches):
+            for batch in batches:
+                n.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(tap(batches))
+
+    monkeypatch.setattr(minhash, "_candidates", counted)
+    want = {k: k for k in range(len(texts))}
+    for a, b in ((a, b) for b in range(len(texts)) for a in range(b) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])):
+        want = {k: want[a] if v == want[b] else v for k, v in want.items()}
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=4, block=8).select("doc_id", "component_id").collect()
+    assert dict(map(tuple, got)) == want and len(set(want.values())) < len(texts)
+    assert len(rows) == 2 and rows[1].value < 20 * len(texts), [n.value for n in rows]
+
+
 def test_bwt_against_brute_force():
     rng = random.Random(1)
     for _ in range(150):
