@@ -148,9 +148,9 @@ def remove_repeats(df: DataFrame, length: int = 400, mark: int | None = None, id
     sketch = _sketch.estimate(docs, _anchors_of(min(lengths), gram), width, depth)
     shared = written(docs.mapInArrow(_find_runs(min(lengths), length, gram, width, sketch), RUNS), compression="zstd")
     whole = docs if not carry else keyed(df, id_col, text_col, carried=F.struct(*carry))
-    spread = whole.repartition("doc_id")
-    per_doc = repeated_windows(spread, shared, _unit(lengths), hot)
-    joined = spread.alias("l").join(per_doc.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "l.text_key", *(["l.carried"] if carry else []), "l.text", "r.runs")
+    # not partitioned here: both joins with it ask for the same keys and columns, so that texts are shuffled once
+    per_doc = repeated_windows(whole, shared, _unit(lengths), hot)
+    joined = whole.alias("l").join(per_doc.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "l.text_key", *(["l.carried"] if carry else []), "l.text", "r.runs")
     kind = "string" if as_text else "binary"
     more = f" carried {whole.schema['carried'].dataType.simpleString()}," if carry else ""
     return joined.mapInArrow(_cut(lengths, as_text), f"doc_id long, text_key long,{more} n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept {kind}, n_marked long")

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from obsidia.llm import registry, toxicity
+from obsidia.llm import registry, suffix_dedup, toxicity
 from tests.llm.test_documents import ROWS, SCHEMA, TEXTS, WORD, repeats
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -194,3 +195,22 @@ def test_pipeline_stages(spark, sf):
     assert cut == sorted(expected)
     nothing = docs.limit(0)
     assert c.drop_near_copies(spark, nothing, sf).count() == c.cut_repeats(spark, nothing, sf).count() == 0
+
+
+def test_cut_shuffles_texts_once(spark, sf):
+    """The lookup of repeated pieces and the cut share one shuffle of the texts, columns carried along or not."""
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # tables too large to broadcast
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for cut in (c.cut_repeats(spark, docs, sf), suffix_dedup.remove_repeats(docs, 240)):
+            plan = cut._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"FileScan parquet \[[^\]]*\btext#", plan)) == 1, plan
+            assert not re.search(r"hashpartitioning\(doc_id#\d+L, \d+\), REPARTITION_BY_COL", plan), plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
