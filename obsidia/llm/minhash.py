@@ -10,12 +10,16 @@ A document's set is its distinct word shingles, each a 64-bit hash. Its sketch i
 3. A list of more than ``block`` classes is replaced by lists over pairs of values. What is still larger is cut into
    blocks that a few members tie together; where it then still holds several components, its members are listed again
    by the whole sketch: a passage that all of them share is common there and lists nothing, so that only sets alike in
-   most of their values meet. Such a list, if still larger, is compared block against block. No task holds more than
-   about ``2 * block`` members and no list is cut short.
+   most of their values meet. No task holds more than about ``2 * block`` members and no list is cut short.
+   Where such a list is still larger, sketches can't tell its pairs from links. Its members' full sets are read once and
+   listed by a few minimal hashes, one of which two sets of the threshold share but for one pair in a million. Blocks of
+   full sets meet there and one matrix product counts what each two have in common, so nothing is left to verify. Blocks
+   whose members are known to be linked, or have met under the first hash, don't meet.
 4. Within a list, the sketch of the union (the ``k`` least of both) estimates similarity. Pairs below the threshold by
    more than five standard errors are dropped; sets of up to ``k`` shingles are estimated exactly.
 5. Survivors are verified on the full sets, in two rounds: first those that span each list's estimated clusters; then,
    with the components that these gave, only pairs whose ends are still apart. Lists of one component aren't read again.
+   The full sets of 3. follow as a third round, for pairs that both belong to them.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ _K = 128
 _NONE = np.uint32(0xFFFFFFFF)
 #: Members of a list of many blocks that meet all of them in the first round, about.
 _HUBS = 16
+#: Such lists that a member meets others in during the first round.
+_SPANS = 4
+#: Blocks of full sets hold so many times ``block`` members, and so many values, about; columns of a matrix product.
+_WIDER, _VALUES, _COLUMNS = 8, 1 << 20, 4096
 
 
 def needed(probes: int, similarity: float, miss: float = 1e-6) -> int:
@@ -49,6 +57,11 @@ def needed(probes: int, similarity: float, miss: float = 1e-6) -> int:
     return probes
 
 
+def tries(similarity: float, miss: float = 1e-6) -> int:
+    """How many minimal hashes it takes until two sets share one, but with probability ``miss``."""
+    return 1 if similarity >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-similarity)))
+
+
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes; shorter texts are one shingle, texts without words none."""
     data, lengths = utf8(column)
@@ -246,6 +259,112 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _whole(size: int, hashes: int):
+    """Full sets and their minimal hashes."""
+    salts = _winnow.mix(np.arange(1, hashes + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets = list(_sets(batch.column("text"), size))
+            least = [[int(_winnow.mix(s ^ salt).min().view(np.int64)) for salt in salts] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "size", "least", "values"],
+            )
+
+    return run
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each of the sets ``left`` has in common with each of ``right``, which are places in ``sets``."""
+    values, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[place]
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0) :]
+    row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int((n > 1).sum()), _COLUMNS):
+        begin, end = np.searchsorted(column, [at, at + _COLUMNS])
+        holds = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        holds[row[begin:end], column[begin:end] - at] = 1
+        out += holds[left] @ holds[right].T
+    return out
+
+
+def _linked(members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that join all components that links join; members are (id, part, side, values), and those of a side don't
+    meet one another unless all are of one."""
+    ids, parts, side = (np.array([x[k] for x in members], dtype=np.int64) for k in range(3))
+    if (parts == parts[0]).all() or (side == max(0, side[0])).all():
+        return []
+    sets = [np.frombuffer(x[3], dtype=np.uint64) for x in members]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    common = _common(sets, left, right)
+    found = []
+    for at in range(0, len(left), 256):
+        rows, shared = left[at : at + 256], common[at : at + 256].astype(np.int64)
+        ok = 100 * shared >= percent * (sizes[rows][:, None] + sizes[right] - shared)
+        x, y = np.nonzero(ok & (parts[rows][:, None] != parts[right]))
+        x, y = rows[x], right[y]
+        # one link of each two components is enough
+        a, b = np.minimum(parts[x], parts[y]), np.maximum(parts[x], parts[y])
+        one = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1]
+        found += zip(a[one].tolist(), b[one].tolist(), ids[x[one]].tolist(), ids[y[one]].tolist())
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for a, b, u, v in found:
+        if (p := find(a)) != (q := find(b)):
+            root[max(p, q)] = min(p, q)
+            out.append((u, v))
+    return out
+
+
+def _meetings(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(members) > 1 and (found := _linked(members, percent)):
+                yield _pairs(found).rename_columns(["u", "v"])
+
+        for batch in batches:
+            for k, *member in zip(*(batch.column(c).to_pylist() for c in ("list", "id", "part", "side", "values"))):
+                if k != key:
+                    yield from done()
+                    key, members = k, []
+                members.append(member)
+        yield from done()
+
+    return run
+
+
+def _met(sets: DataFrame, wide: int, percent: int) -> DataFrame:
+    """Links ``u, v`` across components of ``id, part, size, least, values``, exact on the sets, for each two that share
+    one of the hashes ``least``."""
+    # whom a list's majority of one key holds has no need to meet: linked already, or compared under the first hash
+    key = F.when(F.col("at") == 0, F.col("part")).otherwise(F.col("first"))
+    listed = sets.select("id", "part", "size", F.col("least")[0].alias("first"), F.posexplode("least").alias("at", "value"))
+    keyed_ = listed.select("id", "size", F.xxhash64("at", "value", F.lit(4)).alias("list"), key.alias("key"), "part")
+    lists = keyed_.groupBy("list").agg(F.mode("key", deterministic=True).alias("most"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("list", "most")
+    rows = keyed_.join(lists, "list").select("list", "id", (F.col("key") == F.col("most")).alias("main"), "size")
+    blocks = lambda main: F.ceil(F.greatest(F.sum((F.col("main") == main).cast("long")) / wide, F.sum(F.when(F.col("main") == main, F.col("size")).otherwise(0)) / _VALUES)).cast("int")
+    counted = rows.groupBy("list").agg(blocks(F.lit(False)).alias("few"), blocks(F.lit(True)).alias("many")).where("few > 0")
+    mine = F.when(F.col("main"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few"))).cast("int")
+    # the majority's blocks come after the others and meet these only
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1))
+    grid = rows.join(counted, "list").select("list", "id", mine.alias("mine"), other.alias("other"))
+    grid = grid.select(F.xxhash64("list", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"), "id", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"))
+    whole = grid.join(sets.select("id", "part", "values"), "id").select("list", "id", "part", "side", "values")
+    return whole.repartition("list").sortWithinPartitions("list", "id").mapInArrow(_meetings(percent), "u long, v long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs whose full sets are similar enough, as ``u, v``."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
@@ -283,7 +402,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     members = written(small.unionByName(fits))
     over = counted.where(F.col("n") > block).select("list", "id", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.col("n"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    relisted = []
+    relisted, hard = [], []
 
     def part_of(lists: DataFrame, parts: DataFrame) -> DataFrame:
         """Those of the lists that hold several components, and each member's."""
@@ -293,10 +412,13 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
 
     def candidates(parts: DataFrame | None) -> DataFrame:
         if parts is None:
-            # larger ones: a few members meet all blocks and tie them together; what they don't is left to the second round
+            # larger ones, a few of each member: some members meet all blocks and tie them together; what neither joins is
+            # left to the later rounds, which read all lists
+            some = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("list", F.lit(5)).alias("order"), "list", "blocks", "n"))), 1, _SPANS)
+            spans = over.groupBy("id").agg(some.alias("x")).select("id", F.explode("x").alias("x")).select("id", "x.list", "x.blocks", "x.n")
             hub = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / _HUBS)) == 0
             where = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))
-            large = over.select("list", "id", F.explode(where).alias("at")).select(F.xxhash64("list", "at").alias("list"), "id", F.lit(-1).alias("side"))
+            large = spans.select("list", "id", F.explode(where).alias("at")).select(F.xxhash64("list", "at").alias("list"), "id", F.lit(-1).alias("side"))
             lists = members.unionByName(large).withColumn("part", F.col("id"))
         else:
             # members of lists that no pair of values makes small: by the rarest of all values that their sketches hold
@@ -304,21 +426,27 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
             again = _rarest(hot.mapInArrow(_retained, "id long, size long, least array<long>"), _K, percent / 100).select("id", F.explode("v").alias("x")).select(F.xxhash64("x.value", F.lit(3)).alias("list"), "id")
             relisted.append(written(again.join(again.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list")))
             fit = relisted[0].where(F.col("n") <= block).select("list", "id", F.lit(-1).alias("side"))
-            rest = relisted[0].where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-            # every block meets itself and each other one; side tells the two apart
-            grid = part_of(rest, parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            large = grid.select(F.xxhash64("list", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"), "id", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"), "part")
-            lists = part_of(members.unionByName(fit), parts).unionByName(large)
+            hard.append(written(part_of(relisted[0].where(F.col("n") > block).select("list", "id"), parts).select("id", "part").distinct()))
+            # these meet in the third round, where all of them are on one side here
+            apart = members.unionByName(fit).drop("side").join(hard[0].select("id", F.lit(0).alias("side")), "id", "left").fillna(-1, "side")
+            lists = part_of(apart, parts).join(apart.groupBy("list").agg(F.min("side").alias("least")).where("least < 0"), "list", "left_semi")
         rows = lists.join(classes.select("id", "size", "sketch"), "id").select("list", "id", "size", "part", "side", "sketch")
         return rows.repartition("list").sortWithinPartitions("list", "size", "id").mapInArrow(_candidates(percent / 100, parts is None), "a long, b long").distinct()
 
     first = written(_verified(candidates(None), classes, docs, size, percent))
     joined = components(first)
     second = written(_verified(candidates(joined), classes, docs, size, percent))
-    parts = components(first.unionByName(second))
+    links, used = first.unionByName(second), [first, second, *relisted, *hard]
+    if not hard[0].isEmpty():
+        need = hard[0].join(classes.select("id", "one"), "id").select("id", "one.*")
+        texts = docs.alias("l").join(need.alias("r"), same_row("l", "r")).select("r.id", "l.text").dropDuplicates(["id"])
+        whole = written(texts.mapInArrow(_whole(size, tries(percent / 100)), "id long, size long, least array<long>, values binary"))
+        third = written(_met(whole.join(hard[0], "id"), _WIDER * block, percent))
+        links, used = links.unionByName(third), [*used, whole, third]
+    parts = components(links)
     # the caller may keep the result unread for long: leave it the narrow columns only
     ids, narrow = written(classes.select("d1", "d2", "id")), written(rows.select("doc_id", "text_key", "n_shingles", "d1", "d2"))
-    for table in (rows, classes, prefix, counted, members, *relisted, first, second):
+    for table in (rows, classes, prefix, counted, members, *used):
         discard(table)
     per_class = ids.join(parts, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     found = narrow.join(per_class, ["d1", "d2"], "left")

@@ -171,6 +171,58 @@ def test_minhash_passage_of_many_components(spark, monkeypatch):
     assert len(rows) == 2 and rows[1].value < 20 * len(texts), [n.value for n in rows]
 
 
+def test_minhash_large_family(spark, monkeypatch):
+    """Members of a family too unlike for links aren't read pair by pair, and all links within it are found."""
+    rng = random.Random(9)
+    base, texts = [f"w{k}" for k in range(200)], []
+    for _ in range(160):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 3, 4, 6])):
+            words[at] = f"x{rng.randrange(300)}"
+        texts.append(" ".join(words))
+    own, rows, real = [set(zip(*(t.split()[k:] for k in range(4)))) for t in texts], [], minhash._verify
+
+    def counted(size, percent):
+        run, n = real(size, percent), spark.sparkContext.accumulator(0)
+        rows.append(n)
+
+        def tap(batches):
+            for batch in batches:
+                n.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(tap(batches))
+
+    monkeypatch.setattr(minhash, "_verify", counted)
+    want = {k: k for k in range(len(texts))}
+    for a, b in ((a, b) for b in range(len(texts)) for a in range(b) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])):
+        want = {k: min(want[a], want[b]) if v in (want[a], want[b]) else v for k, v in want.items()}
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=4, block=4).select("doc_id", "component_id").collect()
+    assert dict(map(tuple, got)) == want and 20 < len(set(want.values())) < len(texts)
+    assert sum(n.value for n in rows[1:]) < 4 * len(texts), [n.value for n in rows]
+
+
+def test_minhash_blocks_meet_exactly(spark, monkeypatch):
+    """Full sets link across blocks and components as all pairs do, in columns of several products."""
+    monkeypatch.setattr(minhash, "_COLUMNS", 16)
+    rng = random.Random(10)
+    sets = [sorted({*range(1, 101)} - {*rng.sample(range(1, 101), k := rng.randrange(3, 14))} | {rng.randrange(200, 400) for _ in range(k)}) for _ in range(90)]
+    part = [0 if k % 3 else k + 1000 for k in range(90)]
+    least = lambda s: [min((x * p) % 1009 for x in s) for p in (7, 31, 57, 101, 211, 307, 409, 503, 601)]
+    rows = [(k, part[k], len(s), least(s), b"".join(x.to_bytes(8, "little") for x in s)) for k, s in enumerate(sets)]
+    near = {(a, b) for b in range(90) for a in range(b) if part[a] != part[b] and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
+    near = {(a, b) for a, b in near if set(least(sets[a])) & set(least(sets[b]))}
+
+    def groups(links):
+        root = dict(zip(range(90), part))
+        for a, b in links:
+            root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    got = minhash._met(spark.createDataFrame(rows, "id long, part long, size long, least array<long>, values binary"), 8, 80).collect()
+    assert {(min(r), max(r)) for r in map(tuple, got)} <= near and groups(map(tuple, got)) == groups(near) != groups([])
+
+
 def test_bwt_against_brute_force():
     rng = random.Random(1)
     for _ in range(150):
