@@ -4,8 +4,9 @@ A document is the set of its hashed terms. Its score adds a bias, a weight per t
 dot product of their factors, so that pairs such as an insult beside a group's name count beyond what the terms add
 up to. Terms are lower-cased (ASCII) runs of letters, digits and non-ASCII bytes of the whole text.
 
-Fitting uses at most ``sample`` labelled documents, those with the least hashed ids; nothing else is bounded. Scoring
-reads every document once, without a shuffle, and broadcasts the model, whose size ``2**bits`` fixes.
+Fitting uses at most ``sample`` labelled documents, those with the least hashed ids; nothing else is bounded. Their
+terms are counted and screened on the executors: the driver gets two numbers a hashed term, and of the documents only
+the terms that the model knows. Scoring reads every document once, without a shuffle, and broadcasts the model, whose size ``2**bits`` fixes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsidia.llm import _words
-from obsidia.llm._common import keyed, slices, utf8
+from obsidia.llm._common import discard, keyed, ranges, slices, utf8, written
 
 _TERM = np.full(256, 0x20, dtype=np.uint8)
 _TERM[0x80:] = np.arange(0x80, 256)
@@ -72,23 +73,30 @@ def _margins(doc: np.ndarray, row: np.ndarray, n: int, bias: float, weights: np.
     return out, sums
 
 
-def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, bits: int, rank: int = 4, least: int | None = None, epochs: int = 15, rate: float = 0.2, seed: int = 7) -> Model:
-    """Fit on documents' terms by Adagrad on the logistic loss, with the linear weights soft-thresholded.
+def _prior(n: int, positive: float) -> float:
+    """Share of label 1 among n documents; 0.1 without any."""
+    return (positive + 0.5) / (n + 1) if n else 0.1
+
+
+def screen(seen: np.ndarray, positive: np.ndarray, n: int, total: float, least: int | None = None) -> np.ndarray:
+    """``known`` of a model, from each hashed term's documents and their sum of labels, and both of all documents.
 
     Terms of fewer than ``least`` documents are left out: by default one in 400, and 3. So are those whose share of
     label 1 lies within ``_APART`` standard errors of that of all documents.
     """
-    least = max(3, len(label) // 400) if least is None else least
-    n = len(label)
-    seen = np.bincount(term, minlength=1 << bits)
-    prior = (label.sum() + 0.5) / (n + 1) if n else 0.1
-    apart = np.bincount(term, label[doc], 1 << bits) - seen * prior
+    least = max(3, n // 400) if least is None else least
+    prior = _prior(n, total)
+    apart = positive - seen * prior
     chosen = np.flatnonzero((seen >= least) & (apart**2 >= _APART**2 * seen * prior * (1 - prior)))
-    known = np.zeros(1 << bits, dtype=np.int32)
+    known = np.zeros(len(seen), dtype=np.int32)
     known[chosen] = np.arange(1, len(chosen) + 1)
-    keep = known[term] > 0
-    doc, row = doc[keep], known[term[keep]] - 1
-    m = len(chosen)
+    return known
+
+
+def fit(doc: np.ndarray, row: np.ndarray, label: np.ndarray, known: np.ndarray, bits: int, rank: int = 4, epochs: int = 15, rate: float = 0.2, seed: int = 7) -> Model:
+    """Fit on documents' rows of known terms by Adagrad on the logistic loss, with the linear weights soft-thresholded."""
+    n, m = len(label), int(known.max(initial=0))
+    prior = _prior(n, label.sum())
     rng = np.random.default_rng(seed)
     weights, factors = np.zeros(m), rng.normal(0, 0.01, (m, rank))
     bias = float(np.log(prior / (1 - prior)))
@@ -123,8 +131,8 @@ def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, bits: int, rank: i
 def train(df: DataFrame, labels: DataFrame, sample: int = 16000, bits: int = 18, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Model:
     """Fit on the documents of labelled ids; of several labels of one id the greatest counts, null ones do not.
 
-    Only hashed terms of at most ``sample`` documents reach the driver. Without any labelled document the model gives
-    every text the same low score.
+    Only the counts of hashed terms reach the driver, and the known ones of at most ``sample`` documents. Without any
+    labelled document the model gives every text the same low score.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("id")).agg(F.max(F.col(label_col)).cast("double").alias("label"))
     picked = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -137,12 +145,44 @@ def train(df: DataFrame, labels: DataFrame, sample: int = 16000, bits: int = 18,
             each = [term[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(each, pa.binary())], names=["id", "label", "terms"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, positive, n, total = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits), 0, 0.0
+        for batch in slices(batches, "terms", 1 << 20):
+            (data, lengths), label = utf8(batch.column("terms")), batch.column("label").to_numpy()
+            term = data.view(np.int32)
+            seen += np.bincount(term, minlength=1 << bits)
+            positive += np.bincount(term, np.repeat(label, lengths // 4), 1 << bits)
+            n, total = n + len(label), total + float(label.sum())
+        term = np.flatnonzero(seen)
+        columns = np.append(term, -1).astype(np.int32), np.append(seen[term], n), np.append(positive[term], total)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["term", "seen", "positive"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "terms", 1 << 20):
+            data, lengths = utf8(batch.column("terms"))
+            row = shared.value[data.view(np.int32)]
+            bounds = np.append(0, np.cumsum(row > 0))[np.append(0, np.cumsum(lengths // 4))].tolist()
+            row = row[row > 0] - 1
+            each = [row[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(each, pa.binary())], names=["id", "label", "rows"])
+
     # rows that repeat an id count once
-    rows = texts.mapInArrow(run, "id long, label double, terms binary").groupBy("id").agg(F.min_by(F.struct("label", "terms"), "terms").alias("x")).orderBy("id").select("x.label", "x.terms").toArrow()
-    each = [np.frombuffer(t, dtype=np.int32) for t in rows.column("terms").to_pylist()]
-    term = np.concatenate(each).astype(np.int64) if each else np.zeros(0, dtype=np.int64)
-    doc = np.repeat(np.arange(len(each)), [len(t) for t in each]) if each else np.zeros(0, dtype=np.int64)
-    return fit(doc, term, rows.column("label").to_numpy(), bits)
+    once = texts.mapInArrow(run, "id long, label double, terms binary").groupBy("id").agg(F.min_by(F.struct("label", "terms"), "terms").alias("x"))
+    rows = written(once.select("id", "x.label", "x.terms"), compression="zstd")
+    # the number of documents and their sum of labels stand at term -1
+    counts = rows.mapInArrow(count, "term int, seen long, positive double").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("positive").alias("positive")).toArrow()
+    term = counts.column("term").to_numpy()
+    seen, positive = np.zeros(1 + (1 << bits), dtype=np.int64), np.zeros(1 + (1 << bits))
+    seen[term], positive[term] = counts.column("seen").to_numpy(), counts.column("positive").to_numpy()
+    known = screen(seen[:-1], positive[:-1], int(seen[-1]), float(positive[-1]))
+
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    found = rows.mapInArrow(pick, "id long, label double, rows binary").toArrow()
+    discard(rows)
+    data, lengths = utf8(found.column("rows"))
+    order, each = np.argsort(found.column("id").to_numpy()), lengths // 4
+    row = data.view(np.int32)[ranges((np.cumsum(each) - each)[order], each[order])]
+    return fit(np.repeat(np.arange(len(each)), each[order]), row, found.column("label").to_numpy()[order], known, bits)
 
 
 def scores(column: pa.Array, model: Model) -> np.ndarray:

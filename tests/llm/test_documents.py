@@ -339,6 +339,24 @@ def test_toxicity(spark, docs):
     assert all(r["toxicity"] < 0.5 for r in toxicity.score(docs, untrained).collect())
 
 
+def test_toxicity_screens_terms_before_the_driver(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join([*(f"w{rng.randrange(500)}" for _ in range(400)), *["slur"] * (i % 4 == 0)]) for i in range(500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sent, collect = [], type(frame).toArrow
+    monkeypatch.setattr(type(frame), "toArrow", lambda df: sent.append(collect(df)) or sent[-1])
+    model = toxicity.train(frame, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)], "doc_id long, toxic int"), bits=12)
+
+    doc, term = toxicity._terms(pa.array(texts), 12)
+    seen, bad = np.bincount(term, minlength=1 << 12), np.bincount(term[doc % 4 == 0], minlength=1 << 12)
+    want = [t for t in range(1 << 12) if seen[t] >= 3 and abs(bad[t] - seen[t] * 125.5 / 501) >= 2.5 * (seen[t] * 125.5 / 501 * 375.5 / 501) ** 0.5]
+    assert np.flatnonzero(model.known).tolist() == want and want
+    # two numbers a term, and the documents' known terms; all terms of all documents take several times as much
+    assert sum(t.nbytes for t in sent) <= 20 * (1 + (1 << 12)) + 24 * 500 + 4 * seen[want].sum() + 10_000 < 2 * len(term)
+
+
 def test_empty_tables(spark, empty, tokenizers):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert substring_dedup.remove_repeats(empty, width=256).count() == 0
