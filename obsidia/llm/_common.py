@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one, on a single machine only."""
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Shuffle files of the write go when it ends; else they stay until the driver happens to collect its garbage.
+    """
+    session, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = session.conf.get(_CLEANUP, None)
+    session.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        session.conf.unset(_CLEANUP) if before is None else session.conf.set(_CLEANUP, before)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 
 from obsidia.llm import _sketch, _winnow, bpe, bwt, minhash, packing, substring_dedup, suffix_dedup, toxicity
+from obsidia.llm._common import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_key string, anchor long, id int"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -357,6 +359,20 @@ def test_toxicity_screens_terms_before_the_driver(spark, monkeypatch):
     assert sum(t.nbytes for t in sent) <= 20 * (1 + (1 << 12)) + 24 * 500 + 4 * seen[want].sum() + 10_000 < 2 * len(term)
 
 
+def test_written_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+", disk.getAllFiles().mkString(" ")))
+    rows = spark.range(5000).selectExpr("id % 700 as k", "id").groupBy("k").agg({"id": "sum"}).repartition(3, "k")
+    conf, before = dict(spark.conf.getAll), files()
+    table = written(rows)
+    for _ in range(50):  # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and dict(spark.conf.getAll) == conf
+    assert table.count() == rows.count() == 700
+
+
 def test_empty_tables(spark, empty, tokenizers):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert substring_dedup.remove_repeats(empty, width=256).count() == 0
