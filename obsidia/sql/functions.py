@@ -31,8 +31,8 @@ FUNCTIONS = {
     "regexp_match_groups(t STRING, re STRING)": "CASE WHEN t rlike re THEN regexp_extract_all(t, re, 0) END",
     "regexp_replace_first(t STRING, re STRING, r STRING)": "regexp_replace(t, concat('(?s)^(.*?)(?:', re, ')'), concat('$1', r))",
     "concat_skip(a STRING, b STRING)": "concat_ws('', a, b)",
-    "ceil_double(x DOUBLE)": "CASE WHEN isnan(x) OR abs(x) >= 4503599627370496 THEN x ELSE cast(ceil(x) as double) END",
-    "floor_double(x DOUBLE)": "CASE WHEN isnan(x) OR abs(x) >= 4503599627370496 THEN x ELSE cast(floor(x) as double) END",
+    "ceil_double(x DOUBLE)": "CASE WHEN isnan(x) OR x = 0 OR abs(x) >= 4503599627370496 THEN x WHEN x < 0 AND x > -1 THEN x * 0D ELSE cast(ceil(x) as double) END",
+    "floor_double(x DOUBLE)": "CASE WHEN isnan(x) OR x = 0 OR abs(x) >= 4503599627370496 THEN x ELSE cast(floor(x) as double) END",
     "ln_ieee(x DOUBLE)": "CASE WHEN x > 0 THEN ln(x) WHEN x = 0 THEN double('-Infinity') WHEN x < 0 THEN double('NaN') END",
     "log2_ieee(x DOUBLE)": "CASE WHEN x > 0 THEN log2(x) WHEN x = 0 THEN double('-Infinity') WHEN x < 0 THEN double('NaN') END",
     "log10_ieee(x DOUBLE)": "CASE WHEN x > 0 THEN log10(x) WHEN x = 0 THEN double('-Infinity') WHEN x < 0 THEN double('NaN') END",

@@ -81,6 +81,21 @@ def _log(a: list[str]) -> str:
     return f"log10_ieee({a[0]})" if len(a) == 1 else f"(ln_ieee({a[1]}) / ln_ieee({a[0]}))"
 
 
+def _round(a: list[str]) -> str:
+    """Half away from zero on the scaled double, the sign of zero kept; Spark's own rounds the shortest decimal. A lambda takes the argument once, but no subquery."""
+    x, n = f"cast({a[0]} as double)", f"({a[1]})" if len(a) > 1 else "0"
+    scale, unit = f"pow(10, {n})", f"pow(10, least(-{n}, 308))"
+    whole = "CASE WHEN abs({0} - rint({0})) = 0.5D THEN {0} + signum({0}) * 0.5D ELSE rint({0}) END"
+
+    def near(v: str) -> str:
+        return (
+            f"CASE WHEN {n} >= 0 AND abs({v} * {scale}) < double('Infinity') THEN ({whole.format(f'{v} * {scale}')}) / {scale}"
+            f" WHEN {n} < 0 AND abs({v}) < double('Infinity') THEN ({whole.format(f'{v} / {unit}')}) * {unit} WHEN {n} IS NOT NULL THEN {v} END"
+        )
+
+    return f"({near(x)})" if re.search(r"\bselect\b", a[0], re.IGNORECASE) else f"transform(array({x}), _x -> {near('_x')})[0]"
+
+
 def _typeof(a: list[str]) -> str:
     return f"CASE typeof({a[0]}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ARROW.items()) + f" ELSE typeof({a[0]}) END"
 
@@ -118,6 +133,7 @@ CALLS: dict[str, Callable[[list[str]], str]] = {
     "trunc": lambda a: f"truncate_to({a[0]}, {a[1] if len(a) > 1 else 0})",
     "ceil": _as("ceil_double"),
     "floor": _as("floor_double"),
+    "round": _round,
     "ln": _as("ln_ieee"),
     "log": _log,
     "log2": _as("log2_ieee"),
