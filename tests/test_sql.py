@@ -66,3 +66,8 @@ def test_round(spark):
         spark, "", "select round(0.49999999999999994D) a, round(-2.5D) b, round(1549, -2) c, round(1e306D, 4) d, round(-0.0003D, 3) e, round((select max(value) from samples), 1) f, round(sum(value), 1) g, round(1, null) h from samples group by ts_ns having round(sum(value)) = 3 order by round(g)", tables={"samples": df}
     ).first()
     assert list(map(str, row)) == ["0.0", "-3.0", "1500.0", "1e+306", "-0.0", "2.0", "3.3", "None"]
+
+
+def test_trigonometry_keeps_the_sign_of_zero(spark):
+    got, want = both(spark, "sql_trigonometry", [39.27, 117.81, 177.5, 22.0, 0.0, -1e-9, 3.141592653589793, float("nan"), None])
+    assert got == want and sum("-0.0" in r for r in got) >= 3
